@@ -13,7 +13,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import words_taken
+
+    return words_taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_mixing": op8_mixing,
+    "op9_quality_rules": op9_quality_rules,
     "op3_sharding": op3_sharding,
 }
 
