@@ -25,7 +25,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op3_sharding": op3_sharding,
