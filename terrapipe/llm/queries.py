@@ -31,7 +31,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_near_duplicates": op6_near_duplicates,
     "op1_decontamination": op1_decontamination,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
