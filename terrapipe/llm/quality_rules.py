@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,13 +149,13 @@ def language_references(docs: DataFrame, rule: DivergenceRule) -> dict[str, tupl
         .groupBy("lang", "item")
         .agg(F.sum("n").alias("n"))
     )
-    top = W.partitionBy("lang").orderBy(F.desc("n"), "item")
-    is_class = F.col("item").startswith("c")
-    kept = counts.where(is_class).unionByName(
-        counts.where(~is_class)
+    # The total of words ranks first among the words of a language.
+    kind = F.substring("item", 1, 1)
+    top = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
+    kept = (
+        counts.withColumn("kind", kind)
         .withColumn("rank", F.row_number().over(top))
-        .where(F.col("rank") <= rule.common_words + 1)  # with the total, which ranks first
-        .drop("rank")
+        .where(F.col("rank") <= max(rule.common_words + 1, n_classes))
     )
     most = rule.max_languages * (n_classes + rule.common_words + 1)
     rows = kept.limit(most + 1).collect()
@@ -180,7 +181,49 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def quality_rules(docs: DataFrame, rule: DivergenceRule | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+class _Judge:
+    """Counts and verdicts of texts against the references; sent to the tasks."""
+
+    def __init__(self, refs: dict[str, tuple[np.ndarray, dict[bytes, float]]], rule: DivergenceRule) -> None:
+        self.rule = rule
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in refs.values() for w in words}))}
+        self.refs = [
+            (
+                shares,
+                np.array([self.vocabulary[w] for w in words], int),
+                np.array([*words.values(), max(0.0, 1 - sum(words.values()))]),
+            )
+            for shares, words in refs.values()
+        ]
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Counts, base_failed, kept, class distance and word distance (NaN: not measured)."""
+        n, outside, rule = len(texts), len(self.vocabulary), self.rule
+        get = self.vocabulary.get
+        counts = np.array([base_counts(x) for x in texts], np.int64).reshape(-1, 5)
+        classes = np.zeros((n, len(CLASSES)))
+        words = np.zeros((n, outside + 1))
+        for i, x in enumerate(texts):
+            if x:
+                classes[i] = class_counts(x)
+                found = x.lower().encode("utf-8", "surrogatepass").split()
+                words[i] = np.bincount(np.array([get(w, outside) for w in found], int), minlength=outside + 1)
+        chars = classes.sum(1)
+        by_class, by_word = np.full(n, np.inf), np.full(n, np.inf)
+        p = classes / np.maximum(chars, 1)[:, None]
+        w = words / np.maximum(words.sum(1), 1)[:, None]
+        for shares, at, common in self.refs:
+            by_class = np.minimum(by_class, js_distance(p, shares))
+            own = w[:, at]
+            by_word = np.minimum(by_word, js_distance(np.c_[own, np.maximum(0, 1 - own.sum(1))], common))
+        by_class = np.where((chars >= rule.min_chars) & np.isfinite(by_class), by_class, np.nan)
+        by_word = np.where((counts[:, 0] >= rule.min_words) & np.isfinite(by_word), by_word, np.nan)
+        failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+        far = (by_class > rule.max_class_distance) | (by_word > rule.max_word_distance)
+        return counts, failed, ~failed & ~far, by_class, by_word
+
+
+def quality_rules(docs: DataFrame, rule: DivergenceRule | None = None) -> DataFrame:
     """Base counts and the verdict for every document (doc_id, text, lang).
 
     A document fails the base rules with fewer than 20 words, or with over 30 % of its words in
@@ -189,54 +232,43 @@ def quality_rules(docs: DataFrame, rule: DivergenceRule | None = None, carry: tu
     minimum lengths are not measured by that part. Its own lang is not used, so a wrong label
     does no harm. Defined cases: null and empty texts have counts of 0 and fail the base rules;
     a table without any non-null lang has no references, and then only the base rules decide;
-    repeated rows are judged one by one; an empty table gives no rows. ``carry`` names columns
-    that pass through. Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, class_distance and word_distance (null where not measured).
+    repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, class_distance and word_distance (null where not measured).
     """
     rule = rule or DivergenceRule()
-    refs = language_references(docs, rule)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in refs.values() for w in words}))}
-    shares = [x for x, _ in refs.values()]
-    columns = [np.array([vocabulary[w] for w in words], int) for _, words in refs.values()]
-    common = [np.array([*words.values(), max(0.0, 1 - sum(words.values()))]) for _, words in refs.values()]
-    carried = list(carry)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        outside = len(vocabulary)
-        get = vocabulary.get
+    judge = _Judge(language_references(docs, rule), rule)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x if isinstance(x, str) else None for x in batch["text_"]]
-            counts = np.array([base_counts(x) for x in texts], np.int64).reshape(-1, 5)
-            n = len(texts)
-            classes = np.zeros((n, len(CLASSES)))
-            words = np.zeros((n, outside + 1))
-            for i, x in enumerate(texts):
-                if x:
-                    classes[i] = class_counts(x)
-                    found = x.lower().encode("utf-8", "surrogatepass").split()
-                    words[i] = np.bincount([get(w, outside) for w in found], minlength=outside + 1)
-            chars = classes.sum(1)
-            by_class, by_word = np.full(n, np.inf), np.full(n, np.inf)
-            p = classes / np.maximum(chars, 1)[:, None]
-            w = words / np.maximum(counts[:, 0], 1)[:, None]
-            for q, at, r in zip(shares, columns, common, strict=True):
-                by_class = np.minimum(by_class, js_distance(p, q))
-                own = w[:, at]
-                by_word = np.minimum(by_word, js_distance(np.c_[own, np.maximum(0, 1 - own.sum(1))], r))
-            by_class = np.where((chars >= rule.min_chars) & np.isfinite(by_class), by_class, np.nan)
-            by_word = np.where((counts[:, 0] >= rule.min_words) & np.isfinite(by_word), by_word, np.nan)
-            failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-            far = (by_class > rule.max_class_distance) | (by_word > rule.max_word_distance)
-            out = batch[carried].copy()
-            for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):
-                out[name] = counts[:, k]
-            out["base_failed"], out["kept"] = failed, ~failed & ~far
-            # Nullable floats: NaN here means not measured, and becomes null.
-            out["class_distance"] = pd.array(by_class, "Float64")
-            out["word_distance"] = pd.array(by_word, "Float64")
-            yield out
-
-    return docs.select(*carried, F.col("text").alias("text_")).mapInPandas(
-        judge, f"{head}, {COUNTS}, base_failed boolean, kept boolean, class_distance double, word_distance double"
+            counts, failed, kept, by_class, by_word = judge(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    *[pa.array(counts[:, k]) for k in range(5)],
+                    pa.array(failed),
+                    pa.array(kept),
+                    *[pa.array(x, mask=np.isnan(x)) for x in (by_class, by_word)],
+                ],
+                names=[
+                    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", "kept", "class_distance", "word_distance",
+                ],
+            )
+
+    head = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    return docs.select("doc_id", "text").mapInArrow(
+        judged, f"{head}, {COUNTS}, base_failed boolean, kept boolean, class_distance double, word_distance double"
     )
+
+
+def keep_good(docs: DataFrame, rule: DivergenceRule | None = None) -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with all their columns as they are."""
+    rule = rule or DivergenceRule()
+    judge = _Judge(language_references(docs, rule), rule)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column("text").to_pylist())[2]))
+
+    return docs.mapInArrow(good, docs.schema)
