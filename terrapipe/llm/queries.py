@@ -37,7 +37,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
     "op1_decontamination": op1_decontamination,
     "op8_mixing": op8_mixing,
