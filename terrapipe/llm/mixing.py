@@ -206,7 +206,8 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
             F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")).alias("hi"),
         )
     )
-    drawn = slots.join(pieces, ["source_id", "block"])
+    # The slots come from a few plan rows, so their size is underrated: both sides are to be shuffled.
+    drawn = slots.hint("merge").join(pieces.hint("merge"), ["source_id", "block"])
     rows = ranged.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).select(
         "part", "tie", "doc_id", "size", "source_size", "target"
     )
@@ -217,7 +218,7 @@ def words_taken(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words in the mix, repeats counted)."""
     mixed = mix_documents(docs, mix)
     taken = mixed.drawn.groupBy("part", "tie").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    return mixed.rows.join(taken, ["part", "tie"], "left").select(
+    return mixed.rows.join(taken.hint("merge"), ["part", "tie"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
@@ -236,7 +237,7 @@ def mixed_texts(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("pieces"),
         F.sum(F.col("hi") - F.col("lo")).alias("taken"),
     )
-    sized = pieces.join(
+    sized = pieces.hint("merge").join(
         mixed.rows.select(F.col("tie").alias("tie_"), "size"), F.col("of_row") == F.col("tie_")
     ).select("of_row", F.when(F.col("taken") < F.col("size"), F.col("pieces")).alias("pieces"))
 
@@ -250,7 +251,7 @@ def mixed_texts(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text = F.pandas_udf(cut, "string")(F.col("doc.text"), F.col("pieces"))
-    found = numbered.join(sized, F.col("row") == F.col("of_row")).withColumn("new_text", text)
+    found = numbered.join(sized.hint("merge"), F.col("row") == F.col("of_row")).withColumn("new_text", text)
     out = {c: F.col("doc")[c] for c in columns} | {"text": F.col("new_text")}
     if "n_chars" in columns:
         out["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
