@@ -43,7 +43,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_documents
+
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
     "op1_decontamination": op1_decontamination,

@@ -36,7 +36,3 @@ def hashed(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
     found = _TOKEN.findall(text) if text else []
     return np.fromiter(map(vocabulary.__getitem__, found), np.uint64, len(found))
 
-
-def spans(text: str) -> list[tuple[int, int]]:
-    """Character offsets of the tokens that ``hashed`` returns."""
-    return [m.span() for m in _TOKEN.finditer(text)]
