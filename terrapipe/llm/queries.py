@@ -49,7 +49,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_language_id": op10_language_id,
     "op5_toxicity": op5_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op6_near_duplicates": op6_near_duplicates,
