@@ -55,7 +55,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_notices
+
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op10_language_id": op10_language_id,
     "op5_toxicity": op5_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
