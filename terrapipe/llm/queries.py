@@ -61,7 +61,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_notices(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op7_chat_format": op7_chat_format,
     "op4_license_scan": op4_license_scan,
     "op10_language_id": op10_language_id,
     "op5_toxicity": op5_toxicity,
