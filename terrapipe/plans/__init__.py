@@ -1,6 +1,6 @@
 """The queries of the engine, by name."""
 
-from . import weather  # noqa: F401
+from . import rules, weather  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

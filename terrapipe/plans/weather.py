@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,9 +329,11 @@ def effective_sample_size_regional(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(lab.effective_sample(label_panel(spark, sf_dir, 14), 14, named))
 
 
-@query("pentad_climatology", sql(f"SELECT block_id, pentad::INT AS pentad, {r('clim_mean')}, {r('clim_std')} FROM clim", "clim"))
+@query("pentad_climatology", sql(f"SELECT block_id, pentad::INT AS pentad, {r('clim_mean', digits=9)}, {r('clim_std')} FROM clim", "clim"))
 def pentad_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(feat.pentad_climatology(season_panel(spark, sf_dir)))
+    # The mean of two values of six decimals has seven: at six it would be rounded at a tie.
+    found = feat.pentad_climatology(season_panel(spark, sf_dir))
+    return rounded(found.withColumn("clim_std", F.round("clim_std", 6)), 9)
 
 
 _GROUPS = {
@@ -560,7 +563,9 @@ _verify(
       round((least(alpha, base) - (alpha * (hits + fa) + miss)) / (least(alpha, base) - alpha * base), 6) + 0::DOUBLE END AS value
     FROM (SELECT model, alpha, avg(y) AS base, avg(CASE WHEN p > alpha AND y = 1 THEN 1 ELSE 0 END) AS hits,
         avg(CASE WHEN p > alpha AND y = 0 THEN 1 ELSE 0 END) AS fa, avg(CASE WHEN p <= alpha AND y = 1 THEN 1 ELSE 0 END) AS miss
-      FROM scored, (SELECT 0.05::DOUBLE + i * 0.05::DOUBLE AS alpha FROM range(19) t(i)) GROUP BY 1, 2)""",
+      FROM scored, (SELECT unnest(["""
+    + ", ".join(f"{float(x)!r}::DOUBLE" for x in np.linspace(0.05, 0.95, 19))
+    + """]) AS alpha) GROUP BY 1, 2)""",
     lambda d: verify.value_curve(d, by=M),
 )
 _verify(
