@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .training import training_sample
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -29,7 +29,7 @@ class Crf:
     max_tokens: int = 3_000_000  # and their tokens; documents beyond, in hash order, are left out
     min_contexts: int = 6  # words before a feature in toxic documents, before it can mark a token
     min_share: float = 0.6  # smoothed share of toxic ones among all words before the feature
-    chain: int = 512  # tokens of a chain in fitting; scoring runs over whole texts
+    chain: int = 512  # tokens of a chain in fitting, and of the pieces that scoring runs side by side
     rounds: int = 60
     rate: float = 0.5
     l2: float = 1e-4
@@ -41,37 +41,49 @@ class Crf:
 class Chains:
     """Several token sequences laid out by position, the longest first, for passes over all at once."""
 
-    def __init__(self, lengths: np.ndarray) -> None:
+    def __init__(self, lengths: np.ndarray, starts: np.ndarray | None = None) -> None:
         self.order = np.argsort(-lengths, kind="stable")
         sorted_ = lengths[self.order]
         steps = int(sorted_[0]) if len(sorted_) else 0
         # active[t]: how many sequences are longer than t.
         self.active = len(lengths) - np.searchsorted(sorted_[::-1], np.arange(steps), side="right")
         self.offsets = np.r_[0, np.cumsum(self.active)]
-        starts = np.cumsum(lengths) - lengths
+        starts = np.cumsum(lengths) - lengths if starts is None else starts
         where = np.empty(int(lengths.sum()), np.int64)
         for t, n in enumerate(self.active):
             where[self.offsets[t] : self.offsets[t] + n] = starts[self.order[:n]] + t
         self.where = where  # place of each laid-out token in the plain concatenation
+        lanes = np.arange(int((sorted_ > 0).sum()))
+        self.lanes = lanes
+        self.last = self.offsets[sorted_[lanes] - 1] + lanes  # laid-out place of each sequence's last token
 
 
-def forward_backward(chains: Chains, e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(
+    chains: Chains, e: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of the toxic tag for laid-out tokens.
 
     With two tags only the ratios of the forward and backward scores matter, and each step maps
     one ratio by (a + b r) / (c + d r), for all sequences at once. ``e``: exp of the emission
-    score; ``trans``: exp of the transitions [[OO, OT], [TO, TT]]. Also returns both ratios.
+    score; ``trans``: exp of the transitions [[OO, OT], [TO, TT]]; ``before``: the forward ratio
+    ahead of each sequence, NaN where it begins a text; ``after``: the backward ratio at its last
+    token. Also returns both ratios.
     """
     (oo, ot), (to, tt) = trans
     r, s = np.empty_like(e), np.ones_like(e)
     off, active = chains.offsets, chains.active
+    if after is not None:
+        s[chains.last] = after[chains.order[chains.lanes]]
     for t, n in enumerate(active):
         a = off[t]
         if t:
             q = r[off[t - 1] : off[t - 1] + n]
             r[a : a + n] = e[a : a + n] * (ot + tt * q) / (oo + to * q)
-        else:
+        elif before is None:
             r[:n] = e[:n]
+        else:
+            q = before[chains.order[:n]]
+            r[:n] = np.where(np.isnan(q), e[:n], e[:n] * (ot + tt * q) / (oo + to * q))
     for t in range(len(active) - 2, -1, -1):
         n = active[t + 1]
         v = e[off[t + 1] : off[t + 1] + n] * s[off[t + 1] : off[t + 1] + n]
@@ -80,6 +92,59 @@ def forward_backward(chains: Chains, e: np.ndarray, trans: np.ndarray) -> tuple[
     return both / (1 + both), r, s
 
 
+def _products(chains: Chains, e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Product over each sequence of the 2 x 2 step matrices, up to scale: columns OO, OT, TO, TT."""
+    (oo, ot), (to, tt) = trans
+    m = np.zeros((4, len(chains.lanes)))
+    m[0] = m[3] = 1
+    for t, n in enumerate(chains.active):
+        x = e[chains.offsets[t] : chains.offsets[t] + n]
+        a, b, c, d = m[:, :n]
+        step = np.array([a * oo + b * to, (a * ot + b * tt) * x, c * oo + d * to, (c * ot + d * tt) * x])
+        m[:, :n] = step / step.sum(0)
+    out = np.empty_like(m)
+    out[:, chains.order[chains.lanes]] = m
+    return out
+
+
+def marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, piece: int) -> np.ndarray:
+    """Marginals of the toxic tag for concatenated texts, each of them one whole chain.
+
+    Long texts are run in pieces side by side. The steps of a piece multiply to one 2 x 2 matrix;
+    the matrices of a text, taken in order, give the ratios at the ends of its pieces, so the
+    result is that of the whole chain.
+    """
+    if not len(e):
+        return np.zeros(0)
+    n = -(-lengths // piece)
+    doc = np.repeat(np.arange(len(lengths)), n)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(lengths[doc] - nth * piece, piece)
+    starts = (np.cumsum(lengths) - lengths)[doc] + nth * piece
+    before, after = np.full(len(doc), np.nan), np.ones(len(doc))
+    later = np.flatnonzero(nth > 0)
+    if len(later):
+        sub = Chains(size[later], starts[later])
+        m = np.zeros((4, len(doc)))
+        m[:, later] = _products(sub, e[sub.where], trans)
+        heads = np.flatnonzero((nth == 0) & (n[doc] > 1))
+        first = Chains(size[heads], starts[heads])
+        r = np.empty(len(doc))
+        r[heads[first.order[first.lanes]]] = forward_backward(first, e[first.where], trans)[1][first.last]
+        for k in range(1, int(n.max())):
+            i = np.flatnonzero(nth == k)
+            q = before[i] = r[i - 1]
+            r[i] = (m[1, i] + m[3, i] * q) / (m[0, i] + m[2, i] * q)
+        for k in range(int(n.max()) - 1, 0, -1):
+            i = np.flatnonzero(nth == k)
+            q = after[i]
+            after[i - 1] = (m[2, i] + m[3, i] * q) / (m[0, i] + m[1, i] * q)
+    chains = Chains(size, starts)
+    out = np.empty(len(e))
+    out[chains.where] = forward_backward(chains, e[chains.where], trans, before, after)[0]
+    return out
+
+
 class Words(dict):
     """Distinct tokens of a task: token -> its number; ``table`` has its feature indices.
 
@@ -301,6 +366,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, how: Crf | None = None)
     twice counts with the higher label; repeated rows are scored one by one; other columns are
     ignored. Returns doc_id, held_out, score, predicted (score >= ``threshold``) and spans.
     """
+    small_batches(docs.sparkSession)
     how = how or Crf()
     model = train(docs, labels, how)
     shared = docs.sparkSession.sparkContext.broadcast(model.dumps() if model else None)
@@ -309,8 +375,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, how: Crf | None = None)
         own = Model.loads(shared.value) if shared.value else None
         words = Words(how.bits)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 texts = batch.column("text").to_pylist()
                 found: list[list[dict]] = [[] for _ in texts]
                 scores = np.zeros(len(texts))
@@ -320,11 +386,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, how: Crf | None = None)
                     parts = [words.numbers(x) for x in texts]
                     lengths = np.array([len(x) for x in parts], np.int64)
                     n = np.concatenate(parts)
-                    per = np.empty(len(n))
-                    if len(n):
-                        chains = Chains(lengths)
-                        e = own.emissions(n, words.table, *_ends(lengths))
-                        per[chains.where] = forward_backward(chains, e[chains.where], own.trans)[0]
+                    e = own.emissions(n, words.table, *_ends(lengths)) if len(n) else np.zeros(0)
+                    per = marginals(e, lengths, own.trans, how.chain)
                     scores = own.documents(per, lengths)
                     starts = np.cumsum(lengths) - lengths
                     hit = np.flatnonzero(per >= how.span)
