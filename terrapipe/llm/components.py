@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with shortcuts."""
+"""Connected components of an edge table, by hooking to the least neighbour and contraction."""
 
 from __future__ import annotations
 
@@ -11,34 +11,48 @@ from .common import written
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every end of ``edges`` (a, b: long); component is its least node.
 
-    Each round takes the least label among the neighbours, then the label of that label, and is
-    written to the shared folder. Minima are aggregated before the shuffle and hot ends stand on
-    the long side of joins, which can be split; only the count of changed labels reaches the driver.
+    In each round every node takes the least of its neighbours and itself as its label, labels
+    take the label of their own label, and the edges are replaced by those between different
+    labels. An edge between a node and its label becomes one between that label and the label's
+    own, so nothing comes apart; the edges shrink until none is left. Minima are aggregated
+    before the shuffle, hot ends stand on the long side of joins, which can be split, and each
+    round is written to the shared folder. Only the count of what is left reaches the driver.
     """
-    both = edges.where(F.col("a") != F.col("b")).select(
-        F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("a").alias("d")))).alias("e")
-    )
-    both = written(both.select("e.s", "e.d").distinct(), f"{name}-edges")
-    labels = written(
-        both.groupBy(F.col("s").alias("node")).agg(F.least(F.col("s"), F.min("d")).alias("component")), name
-    )
+    left = written(_pairs(edges.select("a", "b")), f"{name}-edges")
+    assigned = None
     while True:
-        near = (
-            both.join(labels, F.col("d") == F.col("node"))
-            .groupBy(F.col("s").alias("of"))
-            .agg(F.min("component").alias("least"))
+        least = (
+            left.select(F.col("a").alias("node"), F.col("b").alias("near"))
+            .unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
+            .groupBy("node")
+            .agg(F.min("near").alias("near"))
+            .select("node", F.least("node", "near").alias("label"))
         )
-        hooked = labels.join(near, F.col("node") == F.col("of")).select(
-            "node", F.col("component").alias("old"), F.least("component", "least").alias("label")
+        least = written(least, f"{name}-labels")
+        up = least.select(F.col("node").alias("up"), F.col("label").alias("above"))
+        labels = written(
+            least.join(up, F.col("label") == F.col("up")).select("node", F.least("label", "above").alias("label")),
+            f"{name}-labels",
         )
-        up = labels.select(F.col("node").alias("up"), F.col("component").alias("jump"))
-        after = written(
-            hooked.join(up, F.col("label") == F.col("up"), "left").select(
-                "node", F.least("label", "jump").alias("component"), "old"
-            ),
-            name,
+        if assigned is None:
+            assigned = labels.select("node", F.col("label").alias("component"))
+        else:
+            step = labels.withColumnsRenamed({"node": "from", "label": "to"})
+            assigned = written(
+                assigned.join(step, F.col("component") == F.col("from"), "left").select(
+                    "node", F.coalesce("to", "component").alias("component")
+                ),
+                name,
+            )
+        of_a = labels.withColumnsRenamed({"node": "a", "label": "la"})
+        of_b = labels.withColumnsRenamed({"node": "b", "label": "lb"})
+        left = written(
+            _pairs(left.join(of_a, "a").join(of_b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))),
+            f"{name}-edges",
         )
-        changed = after.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+        if not left.limit(1).count():
+            return assigned
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
