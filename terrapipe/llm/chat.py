@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 ROLES = ("system", "user", "assistant")
 #: State after an output turn: 0 at the start, else 1 + index of the role of the last output turn.
@@ -134,6 +134,7 @@ def format_chats(conversations: DataFrame, how: Repair | None = None) -> DataFra
     conversation of its own; a null turn comes first; other columns are ignored; an empty table
     gives no rows.
     """
+    small_batches(conversations.sparkSession)
     how = how or Repair()
     options = {role: choices(role, how) for role in range(-1, 3)}
     id_type = conversations.schema["conv_id"].dataType.simpleString()

@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most ``rows`` documents at a time cross over to Python, so long texts stay within memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def utf8_bytes(text: Column) -> Column:
     """Length of the text in UTF-8 bytes; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_bytes
+from .common import small_batches, utf8_bytes
 
 _TOKEN = re.compile(r"\w+")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
@@ -183,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
     nothing; items of fewer tokens than ``min_match`` match as a whole; repeated rows are returned
     as often as they stand; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     how = how or Tiling()
     schema = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, coverage double, matched int, "
@@ -219,6 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = None) -> DataFrame:
     """``docs`` without the documents that ``contaminated`` returns; all columns stay as they are."""
+    small_batches(docs.sparkSession)
     how = how or Tiling()
     for items in _blocks(benchmark, how):
 

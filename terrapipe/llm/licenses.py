@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 #: Wordings of well-known licences and notices, by SPDX id where there is one.
@@ -127,6 +129,7 @@ def license_notices(
     lower-cased text; other columns are ignored.
     Returns doc_id, license, dice, start_at, end_at: one row per place.
     """
+    small_batches(docs.sparkSession)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(templates, least)

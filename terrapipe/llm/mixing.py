@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, small_batches, written
 
 WEIGHT_CYCLE = (5, 2, 1)
 _SLOT_CHUNK = 50_000
@@ -230,6 +230,7 @@ def mixed_texts(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     are joined by blanks. All columns of ``docs`` (doc_id, text, lang, source, n_chars, ...) are
     kept; n_chars counts the characters of the new text. Documents without words are not in a mix.
     """
+    small_batches(docs.sparkSession)
     columns = docs.columns
     numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-docs")
     mixed = mix_documents(numbered.select("doc.*", F.col("row").alias("row_of_mix")), mix, row_id="row_of_mix")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 from .components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, how: Forest | None = None) -> DataFrame:
 
 def _texts(docs: DataFrame, how: Forest) -> tuple[DataFrame, DataFrame]:
     """All rows with their keys, and one row for each distinct text with its labels."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = written(
         docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie")).mapInArrow(
@@ -320,6 +321,7 @@ def _texts(docs: DataFrame, how: Forest) -> tuple[DataFrame, DataFrame]:
 
 def _counted(docs: DataFrame, texts: DataFrame, how: Forest) -> DataFrame:
     """(node, root, links, texts) of each verification step: see ``near_duplicates``."""
+    small_batches(docs.sparkSession)
     entries = texts.select("node", F.explode("trees").alias("bucket"))
     buckets = (
         entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")

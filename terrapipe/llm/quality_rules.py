@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from .common import small_batches
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,6 +119,7 @@ def language_references(docs: DataFrame, rule: DivergenceRule) -> dict[str, tupl
     Tasks pre-aggregate before the shuffle and hold at most about 200,000 words at a time. What
     reaches the driver is one row for each class and common word of a language.
     """
+    small_batches(docs.sparkSession)
     n_classes = len(CLASSES)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
