@@ -87,3 +87,17 @@ def persistence(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def raw_ensemble(test: DataFrame) -> DataFrame:
     return test.withColumn("p", clipped(F.col("ens_dry_fraction"), PROBABILITY_CLIP))
+
+
+def ladder(train: DataFrame, test: DataFrame) -> DataFrame:
+    """model, y, p and ref of all three baselines for the test rows; ref is the climatology."""
+    out = climatology(train, test).withColumnRenamed("p", "ref")
+    out = persistence(train, out).withColumnRenamed("p", "p_persistence")
+    out = raw_ensemble(out)
+    rows = F.array(
+        F.struct(F.lit("climatology").alias("model"), F.col("ref").alias("p")),
+        F.struct(F.lit("persistence").alias("model"), F.col("p_persistence").alias("p")),
+        F.struct(F.lit("raw_ensemble").alias("model"), F.col("p").alias("p")),
+    )
+    keep = [c for c in ("block_id", "date", "y", "ref") if c in out.columns]
+    return out.select(*keep, F.explode(rows).alias("m")).select("m.model", *keep, "m.p")

@@ -26,51 +26,38 @@ def bucket(panel: DataFrame, awc: float = AWC_MM, initial: float = INITIAL_FILL)
     """``panel`` (block_id, date, change) with soil_moisture_mm: S = clip(S + change, 0, awc), day after day.
 
     A day maps the storage by x -> min(hi, max(lo, x + c)), and such maps compose to one of their
-    kind. Each month of a block is reduced to one map; the maps of a block, twelve a year, give the
-    storage at the start of each month; then the months run side by side. So the recursion never
-    needs more than a month of days, or a block's months, at a time.
+    kind. The days of each month of a block are gathered and reduced to one map; the maps of the
+    months before give the storage at the start of a month, and the days of the month follow. No
+    step sees more than a month of days, or a block's months, at a time, and where the panel is
+    already partitioned by block, none needs a shuffle.
     """
-    month = F.date_trunc("month", "date").cast("date")
-    months = (
-        panel.select("block_id", month.alias("month"), "date", F.col("change"))
-        .groupBy("block_id", "month")
-        .agg(F.sort_array(F.collect_list(F.struct("date", "change"))).alias("days"))
+    others = [c for c in panel.columns if c not in ("block_id", "date")]
+    months = panel.groupBy("block_id", F.date_trunc("month", "date").cast("date").alias("month_")).agg(
+        F.sort_array(F.collect_list(F.struct("date", *others))).alias("days_")
     )
 
-    def add(acc: Column, c: Column) -> Column:
-        clip = lambda x: F.least(F.lit(awc), F.greatest(F.lit(0.0), x + c))
-        return F.struct((acc["c"] + c).alias("c"), clip(acc["lo"]).alias("lo"), clip(acc["hi"]).alias("hi"))
-
-    # On [0, awc] this one changes nothing.
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("lo"), F.lit(awc).alias("hi"))
-    maps = months.withColumn("map", F.aggregate("days", start, lambda acc, d: add(acc, d["change"])))
-
-    def apply(x: Column, m: Column) -> Column:
-        return F.least(m["hi"], F.greatest(m["lo"], x + m["c"]))
-
-    first = F.array(F.lit(initial * awc))
-    chained = maps.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("month", "map"))).alias("maps"))
-    starts = chained.select(
-        "block_id",
-        F.posexplode(
-            F.aggregate("maps", first, lambda acc, m: F.concat(acc, F.array(apply(F.element_at(acc, -1), m["map"]))))
-        ).alias("n", "start"),
-        "maps",
-    ).where(F.col("n") < F.size("maps")).select("block_id", F.col("maps")[F.col("n")]["month"].alias("month"), "start")
-    run = F.aggregate(
-        "days",
-        F.array(F.col("start")),
-        lambda acc, d: F.concat(
-            acc, F.array(F.least(F.lit(awc), F.greatest(F.lit(0.0), F.element_at(acc, -1) + d["change"])))
-        ),
-    )
-    days = months.join(starts, ["block_id", "month"]).select(
-        "block_id", F.explode(F.arrays_zip(F.col("days.date").alias("date"), F.slice(run, 2, 366).alias("mm"))).alias("d")
+    def clip(x: Column) -> Column:
+        return F.least(F.lit(awc), F.greatest(F.lit(0.0), x))
+
+    def add(acc: Column, day: Column) -> Column:
+        c = day["change"]
+        return F.struct((acc["c"] + c).alias("c"), clip(acc["lo"] + c).alias("lo"), clip(acc["hi"] + c).alias("hi"))
+
+    # On [0, awc] this map changes nothing.
+    same = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("lo"), F.lit(awc).alias("hi"))
+    before = W.partitionBy("block_id").orderBy("month_").rowsBetween(W.unboundedPreceding, -1)
+    maps = months.withColumn("map_", F.aggregate("days_", same, add)).withColumn("maps_", F.collect_list("map_").over(before))
+    start = F.aggregate(
+        "maps_", F.lit(initial * awc), lambda x, m: F.least(m["hi"], F.greatest(m["lo"], x + m["c"]))
     )
-    return panel.join(
-        days.select("block_id", F.col("d.date").alias("date"), F.col("d.mm").alias("soil_moisture_mm")),
-        ["block_id", "date"],
+    run = F.aggregate(
+        "days_",
+        F.array(start),
+        lambda acc, d: F.concat(acc, F.array(clip(F.element_at(acc, -1) + d["change"]))),
     )
+    return maps.select(
+        "block_id", F.explode(F.arrays_zip("days_", F.slice(run, 2, 31).alias("mm_"))).alias("x_")
+    ).select("block_id", "x_.days_.*", F.col("x_.mm_").alias("soil_moisture_mm"))
 
 
 def balanced(

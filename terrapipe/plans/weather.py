@@ -522,13 +522,7 @@ plain AS (
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, block_id, date, y, p and the climatology as ref."""
-    train, test = base_rows(spark, sf_dir)
-    out = models.climatology(train, test).withColumn("ref", F.col("p"))
-    keep = ("block_id", "date", "y", "p", "ref")
-    named = out.select(F.lit("climatology").alias("model"), *keep)
-    for name, make in (("persistence", lambda x: models.persistence(train, x)), ("raw_ensemble", models.raw_ensemble)):
-        named = named.unionByName(make(out.drop("p")).select(F.lit(name).alias("model"), *keep))
-    return named
+    return models.ladder(*base_rows(spark, sf_dir))
 
 
 def _verify(name: str, oracle: str, make) -> None:  # noqa: ANN001
