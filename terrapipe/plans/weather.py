@@ -172,7 +172,9 @@ def balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.build_features(balanced_panel(spark, sf_dir), JJAS, None, teleconnections(spark, sf_dir))
+    """All features; the climatology needs the rain only, so it is taken from the panel before the bucket."""
+    rows = feat.fold_invariant(balanced_panel(spark, sf_dir), JJAS, teleconnections(spark, sf_dir))
+    return feat.with_anomaly(rows, feat.pentad_climatology(season_panel(spark, sf_dir)))
 
 
 def label_panel(spark: SparkSession, sf_dir: str, lead: int) -> DataFrame:

@@ -15,7 +15,7 @@ OBS = "block_id string, date date, rain_mm double, tmin_c double, tmax_c double"
 
 
 def days(rain, start=dt.date(2020, 7, 1), block="A"):
-    return [(block, start + dt.timedelta(i), r, 25.0, 35.0) for i, r in enumerate(rain)]
+    return [(block, start + dt.timedelta(i), None if r is None else float(r), 25.0, 35.0) for i, r in enumerate(rain)]
 
 
 def frame(spark, rows):
