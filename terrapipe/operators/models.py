@@ -5,27 +5,32 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import MIN_BIN_ROWS, PERSISTENCE_RUN, PHASE_BINS, PROBABILITY_CLIP
 from ..functions.agro import clipped
 
 
+def _seasons(panel: DataFrame, most: int = 1_000) -> list[int]:
+    """The years of a panel; there are few."""
+    found = panel.select(F.year("date").alias("season")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} seasons")
+    return sorted(r.season for r in found)
+
+
 def holdout_seasons(panel: DataFrame, n: int = 1) -> DataFrame:
     """The last ``n`` seasons."""
-    return panel.select(F.year("date").alias("season")).distinct().orderBy(F.desc("season")).limit(n)
+    last = _seasons(panel)[-n:] if n else []
+    return panel.sparkSession.createDataFrame([(x,) for x in last], "season int")
 
 
 def season_folds(panel: DataFrame, n_holdout: int = 1, min_training: int = 3) -> DataFrame:
     """(test_season, train_season): leave one season out; held-out seasons are in neither place."""
-    seasons = panel.select(F.year("date").alias("season")).distinct()
-    seasons = seasons.join(holdout_seasons(panel, n_holdout), "season", "left_anti")
-    pairs = seasons.select(F.col("season").alias("test_season")).join(
-        seasons.select(F.col("season").alias("train_season")), F.col("test_season") != F.col("train_season")
-    )  # a few seasons squared
-    enough = F.count(F.lit(1)).over(W.partitionBy("test_season")) >= min_training
-    return pairs.withColumn("enough_", enough).where("enough_").drop("enough_")
+    seasons = _seasons(panel)
+    seasons = seasons[: len(seasons) - n_holdout]
+    pairs = [(a, b) for a in seasons for b in seasons if a != b] if len(seasons) - 1 >= min_training else []
+    return panel.sparkSession.createDataFrame(pairs, "test_season int, train_season int")
 
 
 def phase_bin(sin: Column, cos: Column, bins: int = PHASE_BINS) -> Column:

@@ -29,8 +29,9 @@ def validated(obs: DataFrame) -> DataFrame:
 def first_of_day(obs: DataFrame, ingest: str | None = None) -> DataFrame:
     """One row for each block and day: the first by ``ingest`` (input order where it is not given)."""
     seq = F.col(ingest) if ingest else F.monotonically_increasing_id()
-    rank = F.row_number().over(W.partitionBy("block_id", "date").orderBy("ingest_"))
-    return obs.withColumn("ingest_", seq).withColumn("rank_", rank).where("rank_ = 1").drop("rank_", "ingest_")
+    before = F.lag("date").over(W.partitionBy("block_id").orderBy("date", "ingest_"))
+    found = obs.withColumn("ingest_", seq).withColumn("before_", before)
+    return found.where(~F.col("before_").eqNullSafe(F.col("date"))).drop("before_", "ingest_")
 
 
 def capped_rain(obs: DataFrame) -> DataFrame:
@@ -40,12 +41,22 @@ def capped_rain(obs: DataFrame) -> DataFrame:
 
 
 def regularized(obs: DataFrame) -> DataFrame:
-    """Every block on every day from the first to the last of all blocks, with what was observed."""
-    span = obs.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date"))
-    # One row of bounds and one for each block: the grid is the result's own size.
-    grid = obs.select("block_id").distinct().crossJoin(days)
-    return grid.join(obs, ["block_id", "date"], "left")
+    """Every block on every day from the first to the last of all blocks, with what was observed.
+
+    Each row is followed by the days up to the next one of its block, the first also by those
+    before it: one window over a block's rows, no calendar to join. The two bounds are read first.
+    """
+    first, last = obs.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return obs.select("block_id", "date", *[c for c in obs.columns if c not in ("block_id", "date")])
+    w = by_block()
+    start = F.when(F.lag("date").over(w).isNull(), F.lit(first)).otherwise(F.col("date"))
+    stop = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.lit(last))
+    bounded = obs.withColumns({"start_": start, "stop_": stop})
+    days = bounded.withColumn("day_", F.explode(F.sequence("start_", "stop_", F.expr("interval 1 day"))))
+    seen = F.col("day_") == F.col("date")
+    others = [c for c in obs.columns if c not in ("block_id", "date")]
+    return days.select("block_id", F.col("day_").alias("date"), *[F.when(seen, F.col(c)).alias(c) for c in others])
 
 
 def interpolated(panel: DataFrame, columns: tuple[str, ...] = ("tmin_c", "tmax_c"), limit: int = TEMPERATURE_GAP) -> DataFrame:

@@ -465,8 +465,10 @@ def base_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = rows.join(F.broadcast(regions(spark, sf_dir)), "block_id", "left").withColumn(
         "region", F.coalesce("region", F.concat(F.lit("b"), F.col("block_id").cast("string")))
     )
-    rows = rows.dropna(subset=["y", "dry_run_lag1", "ens_dry_fraction"])
-    return models.in_folds(rows, models.season_folds(season_panel(spark, sf_dir)))
+    keep = ("block_id", "date", "y", "region", "dry_run_lag1", "day_of_season_sin", "day_of_season_cos", "ens_dry_fraction")
+    # Every model reads these narrow rows, so they are kept; lost parts are made again from the source.
+    rows = rows.dropna(subset=["y", "dry_run_lag1", "ens_dry_fraction"]).select(*keep).cache()
+    return models.in_folds(rows, models.season_folds(runs.select("date")))
 
 
 def _predictions(kind: str):  # noqa: ANN202
@@ -524,7 +526,7 @@ plain AS (
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, block_id, date, y, p and the climatology as ref."""
-    return models.ladder(*base_rows(spark, sf_dir))
+    return models.ladder(*base_rows(spark, sf_dir)).cache()
 
 
 def _verify(name: str, oracle: str, make) -> None:  # noqa: ANN001

@@ -20,11 +20,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("block_id", "date")
         .agg(F.min_by("o_totalprice", "o_orderkey").alias("price"))
     )
-    span = orders.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
-    blocks = customer.select(F.col("c_nationkey").alias("block_id")).distinct()
-    days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date"))
+    first, last = orders.agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
+    days = F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day")))
+    grid = customer.select(F.col("c_nationkey").alias("block_id")).distinct().withColumn("date", days)
     b, doy = F.col("block_id"), F.dayofyear("date")
-    grid = blocks.crossJoin(days)  # the calendar of each block
     gap = ((F.floor(doy / 5) + b) % 11 == 0) | ((F.floor(doy / 9) + b) % 13 == 0)
     tmin = 10.0 + (b % 5) + 0.03 * doy
     return (
