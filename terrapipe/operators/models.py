@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MIN_BIN_ROWS, PERSISTENCE_RUN, PHASE_BINS, PROBABILITY_CLIP
 from ..functions.agro import clipped
+from .features import pentad_climatology
 
 
 def _seasons(panel: DataFrame, most: int = 1_000) -> list[int]:
@@ -33,6 +34,17 @@ def season_folds(panel: DataFrame, n_holdout: int = 1, min_training: int = 3) ->
     return panel.sparkSession.createDataFrame(pairs, "test_season int, train_season int")
 
 
+def climatologies(panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """The pentad climatology of each ``fold``, from its training seasons; ``folds`` is a small table."""
+    seasons: dict[int, list[int]] = {}
+    for r in folds.collect():
+        seasons.setdefault(r.test_season, []).append(r.train_season)
+    out = pentad_climatology(panel, []).withColumn("fold", F.lit(0))
+    for fold, training in sorted(seasons.items()):
+        out = out.unionByName(pentad_climatology(panel, training).withColumn("fold", F.lit(fold)))
+    return out
+
+
 def phase_bin(sin: Column, cos: Column, bins: int = PHASE_BINS) -> Column:
     phase = F.pmod(F.atan2(sin, cos), F.lit(2 * math.pi))
     return F.least((phase / (2 * math.pi) * bins).cast("int"), F.lit(bins - 1))

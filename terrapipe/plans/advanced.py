@@ -5,46 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import JJAS
 from ..operators import features as feat
 from ..operators import labels as lab
-from ..operators import learners, models
+from ..operators import learners, models, verify
+from ..sources.adapters import teleconnections
 from ..streaming import state
 from . import rules, weather
 from .registry import SQL, query, rounded
 
 
-def _fold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Features and labels of the last scored season, and of the seasons it is trained on."""
-    rows = weather.feature_panel(spark, sf_dir)
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of every fold; the anomaly is fitted on the training seasons of the fold."""
+    panel = weather.season_panel(spark, sf_dir)
+    rows = feat.fold_invariant(weather.balanced_panel(spark, sf_dir), JJAS, teleconnections(spark, sf_dir))
     for days in (5, 10):
-        labelled = lab.labelled(weather.season_panel(spark, sf_dir), 14, days).select("block_id", "date", F.col("y").alias(f"y{days}"))
-        rows = rows.join(labelled, ["block_id", "date"])
-    rows = rows.withColumn("y", F.col("y5")).dropna(subset=[*feat.NAMES, "y5", "y10"])
-    rows = rows.select("block_id", "date", F.year("date").alias("season"), *feat.NAMES, "y", "y5", "y10").cache()
-    folds = models.season_folds(rows)
-    last = folds.agg(F.max("test_season")).first()[0]
-    train, test = models.in_folds(rows, folds.where(F.col("test_season") == last))
-    return train, test
+        rows = rows.join(lab.labelled(panel, 14, days).select("block_id", "date", F.col("y").alias(f"y{days}")), ["block_id", "date"])
+    invariant = [c for c in feat.NAMES if c != "rain_anomaly_15d"]
+    rows = rows.dropna(subset=[*invariant, "y5"]).select("block_id", "date", *invariant, "rain_sum_15d", F.col("y5").alias("y"), "y5", "y10").cache()
+    rain = panel.select("block_id", "date", "rain_mm").cache()
+    folds = models.season_folds(rain)
+    normals = models.climatologies(rain, folds)
+    made = []
+    for part in models.in_folds(rows, folds):  # every fit reads these, so the lineage is cut
+        path = state.folder(spark)
+        feat.with_anomaly(part, normals).dropna(subset=["rain_anomaly_15d"]).write.parquet(path)
+        made.append(spark.read.parquet(path).cache())
+    return made[0], made[1]
+
+
+def _logistic(train: DataFrame, test: DataFrame) -> DataFrame:
+    def fitted(own: DataFrame, asked: DataFrame) -> DataFrame:
+        short, coherent = learners.extended_logistic(own, asked, (5, 10), 5)
+        return short.withColumn("coherent", F.lit(coherent))
+
+    return learners.each_fold(train, test, fitted)
+
+
+def _isotonic(train: DataFrame, test: DataFrame) -> DataFrame:
+    return learners.each_fold(models.raw_ensemble(train), models.raw_ensemble(test), learners.isotonic)
 
 
 @query("model_extended_logistic")
 def model_extended_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _fold(spark, sf_dir)
-    short, coherent = learners.extended_logistic(train, test, (5, 10), 5)
-    return rounded(short.select("block_id", "date", "y", "p", F.lit(coherent).alias("coherent")), 4)
+    return rounded(_logistic(*_folds(spark, sf_dir)).select("fold", "block_id", "date", "y", "p", "coherent"), 4)
 
 
 @query("model_monotone_boost")
 def model_monotone_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _fold(spark, sf_dir)
-    return rounded(learners.monotone_boost(train, test).select("block_id", "date", "y", "p"), 4)
+    return rounded(learners.monotone_boost(*_folds(spark, sf_dir)).select("fold", "block_id", "date", "y", "p"), 4)
 
 
 @query("model_isotonic")
 def model_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _fold(spark, sf_dir)
-    raw = lambda d: models.raw_ensemble(d)
-    return rounded(learners.isotonic(raw(train), raw(test)).select("block_id", "date", "y", "p"), 4)
+    return rounded(_isotonic(*_folds(spark, sf_dir)).select("fold", "block_id", "date", "y", "p"), 4)
+
+
+@query("verify_fitted")
+def verify_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the baselines and of the fitted models over the same rows, those of all folds."""
+    train, test = _folds(spark, sf_dir)
+    known = models.ladder(train, test).select("model", "block_id", "date", "y", "ref", "p").cache()
+    ref = known.where("model = 'climatology'").select("block_id", "date", "ref")
+    for name, fitted in (
+        ("extended_logistic", _logistic(train, test)),
+        ("monotone_boost", learners.monotone_boost(train, test)),
+        ("isotonic", _isotonic(train, test)),
+    ):
+        own = fitted.select(F.lit(name).alias("model"), "block_id", "date", "y", "p").join(ref, ["block_id", "date"])
+        known = known.unionByName(own)
+    return rounded(verify.scores(known.cache(), ("model",)), 4)
 
 
 @query("stream_dry_run", SQL["dry_runs"])
