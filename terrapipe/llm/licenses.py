@@ -14,7 +14,7 @@ from .common import small_batches
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 #: Wordings of well-known licences and notices, by SPDX id where there is one.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -60,6 +60,86 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+_ASIS = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_NO_ENDORSEMENT = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+_TEXTS = (
+    ("MIT", f"{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_ASIS}"),
+    ("MIT-0", f"{_MIT_GRANT}."),
+    ("MIT-0", f"{_MIT_GRANT}. {_ASIS}"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + _NO_ENDORSEMENT),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("MPL-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
+    ("EPL-1.0", "This program is made available under the terms of the Eclipse Public License v1.0"),
+    ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License v 2.0"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"),
+)
+_NAMED = (("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("0BSD", "0BSD"), ("Zlib", "zlib"), ("Unlicense", "Unlicense"))
+
+
+def _families() -> list[tuple[str, str]]:
+    """Notices of the GNU and Creative Commons families, of every version and variant."""
+    out = []
+    for name, kind, version in (
+        ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"),
+    ):
+        out += [(name, f"{who} licensed under the GNU {kind}General Public License, version {version}.") for who in ("This work is", "This program is")]
+        out.append((name, f"Licensed under the GNU {kind}General Public License v{version}"))
+        for what in ("program", "library"):
+            out.append(
+                (name, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published "
+                 f"by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+            )
+    words = {"SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for variant in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND"):
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            name = f"CC-BY{variant}-{version}"
+            out.append((name, f"Licensed under CC BY{variant} {version}."))
+            whole = "-".join(["Attribution", *[words[v] for v in variant.split("-")[1:]]])
+            scope = "International" if version == "4.0" else "Unported"
+            out.append((name, f"This work is licensed under a Creative Commons {whole} {version} {scope} License."))
+    return out
+
+
+TEMPLATES: tuple[tuple[str, str], ...] = tuple(
+    dict.fromkeys((*_NOTICES, *_TEXTS, *_families(), *[(a, f"{how} under the {b} License.") for a, b in _NAMED for how in ("Released", "Licensed")]))
+)
+
+#: Words that tell siblings apart, besides versions: a place must hold those of its template and no others.
+_VARIANTS = frozenset("lesser affero sa nc nd sharealike noncommercial noderivatives noderivs".split())
+_VERSION = re.compile(r"v?\d+")
+
+
+def telling(words: list[str]) -> frozenset[str]:
+    return frozenset(w.removeprefix("v") if _VERSION.fullmatch(w) else w for w in words if w in _VARIANTS or _VERSION.fullmatch(w))
+
+
 def normalised(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
@@ -75,7 +155,7 @@ def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Callable[[s
             starts.setdefault(g, []).append(len(known))
         size = sum(grams.values())
         # Of bigrams of a window that can reach the coefficient: Dice >= least bounds its size.
-        known.append((name, grams, size, size * least / (2 - least), size * (2 - least) / least))
+        known.append((name, grams, size, size * least / (2 - least), size * (2 - least) / least, telling(words)))
     first_words = {g[0] for g in starts}
 
     def scan(text: str) -> list[tuple[str, float, int, int]]:
@@ -87,7 +167,7 @@ def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Callable[[s
                     hits.setdefault(k, []).append((i, (a, words[i + 1])))
         windows = []
         for k, own in hits.items():
-            name, grams, size, low, high = known[k]
+            name, grams, size, low, high, told = known[k]
             if len(own) < low:  # not even all of them in one window would do
                 continue
             for n, (i, _) in enumerate(own):
@@ -99,7 +179,7 @@ def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Callable[[s
                     seen[g] += 1
                     common += seen[g] <= grams[g]
                     dice = 2 * common / (size + j - i + 1)
-                    if dice >= least:
+                    if dice >= least and told <= (own_told := telling(words[i : j + 2])) and not (own_told - told) & _VARIANTS:
                         windows.append((-common, -dice, i, j + 2, name))
         taken: list[tuple[int, int]] = []
         out = []
@@ -121,7 +201,8 @@ def license_notices(
     """Places in whole texts of ``docs`` (doc_id, text) that read like a licence template.
 
     Texts are normalised to lower-case letters and digits. A place is a window of words that
-    begins and ends with a bigram of the template; templates whose size bounds rule out the
+    begins and ends with a bigram of the template, and holds its versions and variants (telling
+    apart GPL-2.0 and GPL-3.0, or CC-BY and CC-BY-SA); templates whose size bounds rule out the
     coefficient are not compared. Of overlapping places the one that shares most bigrams stays.
     Templates are a fixed list, each text is scanned in its own task, and nothing is shuffled.
     Defined cases: null, empty and one-word texts give no rows; ties go to the higher coefficient,
