@@ -44,7 +44,11 @@ def symbols(text: str) -> np.ndarray:
                 codes[c] = 27 + c % _OTHER
         _TABLE.append(codes)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(points < 0x10000, _TABLE[0][np.minimum(points, 0xFFFF)], 27 + points % _OTHER).astype(np.uint8)
+    out = _TABLE[0][np.minimum(points, 0xFFFF)]
+    high = points > 0xFFFF
+    if high.any():
+        known, at = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([27 + c % _OTHER if chr(c).isalpha() else 0 for c in known.tolist()], np.uint8)[at]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] > 0) | (out[:-1] > 0)
     return out[keep]
