@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by hooking to the least neighbour and contraction."""
+"""Connected components of an edge table: hooking in a new random order each round, and contraction."""
 
 from __future__ import annotations
 
@@ -11,28 +11,31 @@ from .common import written
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every end of ``edges`` (a, b: long); component is its least node.
 
-    In each round every node takes the least of its neighbours and itself as its label, labels
-    take the label of their own label, and the edges are replaced by those between different
-    labels. An edge between a node and its label becomes one between that label and the label's
-    own, so nothing comes apart; the edges shrink until none is left. Minima are aggregated
-    before the shuffle, hot ends stand on the long side of joins, which can be split, and each
-    round is written to the shared folder. Only the count of what is left reaches the driver.
+    Each round orders the nodes by a hash that is drawn anew. Every node hooks to the neighbour
+    that comes first in that order, if it comes before the node itself, and then to the node that
+    one has hooked to; the edges are replaced by those between what is left. Hooking always goes
+    down the order, so there are no cycles, and as the order is random a constant share of the
+    nodes goes in each round: a chain takes a logarithmic number of rounds, whatever its ids.
+
+    Neighbours are aggregated before the shuffle, hot ends stand on the long side of joins, which
+    can be split, and each round is written to the shared folder. Only whether anything is left
+    reaches the driver.
     """
     left = written(_pairs(edges.select("a", "b")), f"{name}-edges")
-    assigned = None
+    assigned, turn = None, 0
     while True:
-        least = (
+        rank = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: E731, B023
+        hooked = (
             left.select(F.col("a").alias("node"), F.col("b").alias("near"))
             .unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
             .groupBy("node")
-            .agg(F.min("near").alias("near"))
-            .select("node", F.least("node", "near").alias("label"))
+            .agg(F.min_by("near", rank("near")).alias("near"))
+            .select("node", F.when(rank("near") < rank("node"), F.col("near")).otherwise(F.col("node")).alias("label"))
         )
-        least = written(least, f"{name}-labels")
-        up = least.select(F.col("node").alias("up"), F.col("label").alias("above"))
+        hooked = written(hooked, f"{name}-hooked")
+        up = hooked.select(F.col("node").alias("up"), F.col("label").alias("above"))
         labels = written(
-            least.join(up, F.col("label") == F.col("up")).select("node", F.least("label", "above").alias("label")),
-            f"{name}-labels",
+            hooked.join(up, F.col("label") == F.col("up")).select("node", F.col("above").alias("label")), f"{name}-labels"
         )
         if assigned is None:
             assigned = labels.select("node", F.col("label").alias("component"))
@@ -50,8 +53,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             _pairs(left.join(of_a, "a").join(of_b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))),
             f"{name}-edges",
         )
-        if not left.limit(1).count():
-            return assigned
+        turn += 1
+        if left.isEmpty():
+            least = assigned.groupBy("component").agg(F.min("node").alias("least"))
+            return assigned.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def _pairs(edges: DataFrame) -> DataFrame:

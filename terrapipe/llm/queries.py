@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +80,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op3_sharding": op3_sharding,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from terrapipe.llm import chat, decontamination, language_id, licenses, mixing, near_duplicates, quality_rules, toxicity
 
@@ -140,20 +141,51 @@ def test_links_equal_sets():
     rnd = random.Random(5)
     base = [rnd.randrange(10**6) for _ in range(60)]
     texts = [np.unique([x if rnd.random() < 0.97 else rnd.randrange(10**6) for x in base]).astype(np.uint64) for _ in range(30)]
-    got = near_duplicates.links(texts, None, 0.8)
+    got, alike = near_duplicates.links(texts, None, 0.8)
     sets = [set(x.tolist()) for x in texts]
     for i, j in itertools.product(range(30), range(30)):
         want = i != j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
         assert got[i, j] == want
-    cross = near_duplicates.links(texts[:10], texts[10:], 0.8)
+        assert i == j or abs(alike[i, j] - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 1e-6
+    cross, _ = near_duplicates.links(texts[:10], texts[10:], 0.8)
     assert (cross == got[:10, 10:]).all()
 
 
 def test_prefix_is_shortened_to_the_recall():
     how = near_duplicates.Forest()
-    k = how.prefix()
+    k = how.floor()
     recall = lambda k: 1 - (1 - how.threshold**k) ** how.trees
     assert recall(k) >= how.target_recall > recall(k + 1)
+    # Links of equal sets need no shortening; those at the threshold need it down to the floor.
+    assert how.recall(how.depth, {39: 10}) >= how.target_recall
+    assert how.recall(k + 1, {0: 10}) < how.target_recall <= how.recall(k, {0: 10})
+    assert how.recall(how.depth, {}) == 0
+
+
+def test_branches_equal_pairwise_prefixes():
+    rnd = random.Random(6)
+    how = near_duplicates.Forest(depth=4, trees=3, target_recall=0.5)
+    least = how.floor()
+    rows = sorted((bytes([rnd.randrange(3), *(rnd.randrange(2) for _ in range(4))]), n) for n in range(40))
+    for cuts in ([40], [1, 17, 40], [13, 14, 40]):
+        batches = [
+            pa.RecordBatch.from_pydict({"label": [x[0] for x in rows[a:b]], "node": [x[1] for x in rows[a:b]]})
+            for a, b in zip([0, *cuts], cuts, strict=False)
+        ]
+        got = {(r["label"], r["node"]): r for b in near_duplicates._branches(iter(batches), how) for r in b.to_pylist()}
+        for k, (label, node) in enumerate(rows):
+            shared = [
+                max(n for n in range(5) if label[: n + 1] == other[: n + 1]) if label[0] == other[0] else -1
+                for other, m in rows
+                if m != node
+            ]
+            if k in (0, len(rows) - 1):
+                assert got[label, node]["deep"] == how.depth
+            elif max(shared) >= least:
+                assert got[label, node]["deep"] == max(shared)
+                assert got[label, node]["lead"] == next(m for other, m in rows if other[: least + 1] == label[: least + 1])
+            else:
+                assert (label, node) not in got
 
 
 def test_chat_path_is_the_cheapest():

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrapipe.llm import chat, decontamination, language_id, licenses, mixing, near_duplicates, quality_classifier, quality_rules, sharding, toxicity
+from terrapipe.llm import chat, components, decontamination, language_id, licenses, mixing, near_duplicates, quality_classifier, quality_rules, sharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, part int, tie string, key string"
 _rnd = random.Random(8)
@@ -93,6 +93,40 @@ def test_mix_takes_what_it_should(spark):
     assert words == collections.Counter({r.doc_id: r.taken for r in got if r.taken})
 
 
+def test_a_chain_is_one_component_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    keep = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    edges = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.connected_components(edges.union(spark.createDataFrame([(5000, 5002), (5002, 5001)], edges.schema)), "chain")
+    assert {(r.component, r.n) for r in got.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 1001), (5000, 3)}
+    assert rounds.count("chain-hooked") < 20
+
+
+def test_near_duplicates_recall_on_whole_tables(spark):
+    """Every link that a comparison of all shingle sets finds is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(docs).collect()}
+    sets, ids = {}, collections.defaultdict(list)
+    for r in docs.collect():
+        w = tuple((r.text or "").encode().split())
+        ids[w].append(r.doc_id)
+        sets[w] = {w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set()
+    holders = collections.defaultdict(list)
+    for w, own in sets.items():
+        for x in own:
+            holders[x].append(w)
+    links = 0
+    for w, own in sets.items():
+        met = collections.Counter(o for x in own for o in holders[x] if o != w)
+        near = [o for o, n in met.items() if 5 * n >= 4 * (len(own) + len(sets[o]) - n)]
+        links += len(near)
+        for k in ids[w]:
+            assert got[k].n_text_links == len(near)
+            assert got[k].n_links == (sum(len(ids[o]) for o in near) + len(ids[w]) - 1 if w else 0)
+    assert links > 0
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rows, k = [], 0
     for _ in range(12):
