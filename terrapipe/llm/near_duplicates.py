@@ -434,9 +434,10 @@ def _counted(docs: DataFrame, texts: DataFrame, how: Forest) -> DataFrame:
 def _laid(docs: DataFrame, texts: DataFrame, branches: DataFrame, how: Forest) -> DataFrame:
     """(node, copies, shingles, block) of every text on a shared branch.
 
-    What fits goes into a block as a whole: all that is connected by branches, or else those with
-    the same least lead, or else parts of these. Where a text lies decides how many steps it takes,
-    never which pairs meet.
+    Texts that branches connect go into a block as a whole where they fit, with others that are
+    connected to nothing else. Larger groups have blocks of their own, into which those with the
+    same least lead go together, or parts of these. Where a text lies decides how many steps it
+    takes, never which pairs meet.
     """
     leads = branches.groupBy("node").agg(F.min("lead").alias("lead"))
     joined = connected_components(
@@ -468,16 +469,11 @@ def _laid(docs: DataFrame, texts: DataFrame, branches: DataFrame, how: Forest) -
     n_blocks = int(sized.agg(F.ceil(F.sum("load"))).first()[0] or 1)
     of_component = sized.groupBy("component").agg(F.sum("load").alias("all_load"))
     of_lead = sized.groupBy("component", "lead").agg(F.sum("load").alias("lead_load"))
-    unit = (
-        F.when(F.col("all_load") <= 1, F.xxhash64("component"))
-        .when(F.col("lead_load") <= 1, F.xxhash64("component", "lead"))
-        .otherwise(F.xxhash64("component", "lead", F.pmod(F.xxhash64("node"), F.ceil("lead_load"))))
-    )
-    laid = (
-        sized.join(of_component, "component")
-        .join(of_lead, ["component", "lead"])
-        .select("node", F.pmod(unit, F.lit(n_blocks)).cast("int").alias("block"))
+    part = F.xxhash64("lead", F.when(F.col("lead_load") > 1, F.pmod(F.xxhash64("node"), F.ceil("lead_load"))))
+    block = F.when(F.col("all_load") <= 1, F.pmod(F.xxhash64("component"), F.lit(n_blocks))).otherwise(
+        F.xxhash64("component", F.pmod(part, F.ceil("all_load")))
     )
+    laid = sized.join(of_component, "component").join(of_lead, ["component", "lead"]).select("node", block.alias("block"))
     return written(sets.join(laid, "node"), "near-laid")
 
 
