@@ -315,8 +315,8 @@ def near_duplicates(docs: DataFrame, how: Forest | None = None) -> DataFrame:
        the branches of the tries that hold more than one text.
     3. Texts that share branches are laid into blocks of bounded size. From the full labels on, the
        matched prefix is shortened by one value at a time. At each length, the pairs of blocks that
-       meet in a branch for the first time are verified exactly on whole shingle sets, one step a
-       pair of blocks. It ends when the recall estimated from the similarities of the links found
+       meet in a branch for the first time are verified exactly on whole shingle sets, one step for
+       each pair of blocks. It ends when the recall estimated from the similarities of the links found
        reaches ``target_recall``, at the latest at the length where a pair just at the threshold is
        found as often as that.
     4. Components of the verified links are the classes.
@@ -399,33 +399,39 @@ def _counted(docs: DataFrame, texts: DataFrame, how: Forest) -> DataFrame:
         "near-branches",
     )
     sets = _laid(docs, texts, branches, how)
-    met = written(branches.join(sets.select("node", "block"), "node").select("label", "deep", "block"), "near-met")
+    depths = F.sequence(F.lit(how.floor()), F.col("deep"))
+    meets = (
+        branches.join(sets.select("node", "block"), "node")
+        .select("block", "label", F.explode(depths).alias("depth"))
+        .groupBy("depth", F.expr("substring(label, 1, depth + 1)").alias("branch"), "block")
+        .count()
+    )
+    # Each pair of blocks with the longest prefix that texts of both share.
+    steps = written(
+        meets.withColumnsRenamed({"block": "i", "count": "n"})
+        .join(meets.withColumnRenamed("block", "j"), ["depth", "branch"])
+        .where("i < j or (i = j and n > 1)")
+        .groupBy("i", "j")
+        .agg(F.max("depth").alias("depth")),
+        "near-steps",
+    )
+    waiting = {r.depth for r in steps.select("depth").distinct().collect()}  # at most ``depth`` numbers
     schema = "node long, root long, links long, texts long, bin long, pairs long"
-    done, verified, links_ = None, docs.sparkSession.createDataFrame([], schema), {}
-    for depth in range(how.depth, how.floor() - 1, -1) if not met.isEmpty() else ():
-        meets = met.where(F.col("deep") >= depth).groupBy(F.substring("label", 1, depth + 1).alias("branch"), "block").count()
-        new = (
-            meets.withColumnsRenamed({"block": "i", "count": "n"})
-            .join(meets.withColumnRenamed("block", "j"), "branch")
-            .where("i < j or (i = j and n > 1)")
-            .select("i", "j")
-            .distinct()
-        )
-        new = written(new if done is None else new.join(done, ["i", "j"], "left_anti"), "near-steps")
-        if new.isEmpty():
-            continue
-        done = new if done is None else done.unionByName(new)
-        steps = (
-            new.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-            .join(sets, "block")
-            .repartition("i", "j")
-            .sortWithinPartitions("i", "j", "block", "node")
-            .select("i", "j", "block", "node", "copies", "shingles")
-        )
-        now = written(steps.mapInArrow(lambda it: _verified(it, how), schema), "near-links")
-        verified = verified.unionByName(now)
-        for r in now.where("bin is not null").groupBy("bin").agg(F.sum("pairs").alias("n")).collect():  # 40 bins
-            links_[r.bin] = links_.get(r.bin, 0) + r.n
+    verified, links_ = docs.sparkSession.createDataFrame([], schema), {}
+    for depth in range(how.depth, how.floor() - 1, -1):
+        if depth in waiting:
+            texts_of = (
+                steps.where(F.col("depth") == depth)
+                .select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+                .join(sets, "block")
+                .repartition("i", "j")
+                .sortWithinPartitions("i", "j", "block", "node")
+                .select("i", "j", "block", "node", "copies", "shingles")
+            )
+            now = written(texts_of.mapInArrow(lambda it: _verified(it, how), schema), "near-links")
+            verified = verified.unionByName(now)
+            for r in now.where("bin is not null").groupBy("bin").agg(F.sum("pairs").alias("n")).collect():  # 40 bins
+                links_[r.bin] = links_.get(r.bin, 0) + r.n
         if how.recall(depth, links_) >= how.target_recall:
             break
     return verified.where("node is not null").select("node", "root", "links", "texts")
