@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Season
@@ -45,12 +46,16 @@ def pentad_climatology(panel: DataFrame, training_seasons: list[int] | None = No
     rows = panel.select("block_id", "date", "rain_mm")
     if training_seasons is not None:
         rows = rows.where(F.year("date").isin(training_seasons))
-    by_pentad = rows.groupBy("block_id", pentad(F.col("date")).alias("pentad")).agg(
-        F.avg("rain_mm").alias("clim_mean"), F.stddev_samp("rain_mm").alias("own_std")
+    # Pentads and whole blocks in one pass; a block's row then lends its deviation to its pentads.
+    keyed = rows.withColumn("pentad", pentad(F.col("date")))
+    both = keyed.groupingSets([["block_id", "pentad"], ["block_id"]], "block_id", "pentad").agg(
+        F.avg("rain_mm").alias("clim_mean"), F.stddev_samp("rain_mm").alias("std"), F.grouping("pentad").alias("whole")
     )
-    by_block_ = rows.groupBy("block_id").agg(F.stddev_samp("rain_mm").alias("block_std"))
-    return by_pentad.join(by_block_, "block_id", "left").select(
-        "block_id", "pentad", "clim_mean", F.coalesce("own_std", "block_std").alias("clim_std")
+    block_std = F.max(F.when(F.col("whole") == 1, F.col("std"))).over(W.partitionBy("block_id"))
+    return (
+        both.withColumn("block_std", block_std)
+        .where("whole = 0")
+        .select("block_id", "pentad", "clim_mean", F.coalesce("std", "block_std").alias("clim_std"))
     )
 
 

@@ -40,19 +40,20 @@ def capped_rain(obs: DataFrame) -> DataFrame:
     return obs.withColumn("rain_mm", F.when((r >= 0) & (r <= PHYSICAL_MAX_RAIN_MM), r))
 
 
-def regularized(obs: DataFrame) -> DataFrame:
+def regularized(obs: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Every block on every day from the first to the last of all blocks, with what was observed.
 
     Each row is followed by the days up to the next one of its block, the first also by those
-    before it: one window over a block's rows, no calendar to join. The two bounds are read first.
+    before it: one window over a block's rows, no calendar to join. The first and last day are one
+    row (first, last): ``bounds`` where the caller knows them without running ``obs`` a second time.
     """
-    first, last = obs.agg(F.min("date"), F.max("date")).first()
-    if first is None:
-        return obs.select("block_id", "date", *[c for c in obs.columns if c not in ("block_id", "date")])
+    if bounds is None:
+        bounds = obs.agg(F.min("date").alias("first"), F.max("date").alias("last"))
     w = by_block()
-    start = F.when(F.lag("date").over(w).isNull(), F.lit(first)).otherwise(F.col("date"))
-    stop = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.lit(last))
-    bounded = obs.withColumns({"start_": start, "stop_": stop})
+    edges = bounds.select(F.col("first").alias("first_"), F.col("last").alias("last_"))
+    start = F.when(F.lag("date").over(w).isNull(), F.col("first_")).otherwise(F.col("date"))
+    stop = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("last_"))
+    bounded = obs.crossJoin(F.broadcast(edges)).withColumns({"start_": start, "stop_": stop})  # one row
     days = bounded.withColumn("day_", F.explode(F.sequence("start_", "stop_", F.expr("interval 1 day"))))
     seen = F.col("day_") == F.col("date")
     others = [c for c in obs.columns if c not in ("block_id", "date")]
@@ -62,13 +63,13 @@ def regularized(obs: DataFrame) -> DataFrame:
 def interpolated(panel: DataFrame, columns: tuple[str, ...] = ("tmin_c", "tmax_c"), limit: int = TEMPERATURE_GAP) -> DataFrame:
     """Fill gaps linearly, up to ``limit`` days from either side; the nearest value at the ends."""
     back = by_block().rowsBetween(W.unboundedPreceding, 0)
-    ahead = by_block().rowsBetween(0, W.unboundedFollowing)
+    # The other way round: a frame that ends at the last row would be summed up anew for every row.
+    ahead = W.partitionBy("block_id").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, 0)
     out = panel.withColumn("day_", F.datediff("date", F.lit("1970-01-01").cast("date")))
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.struct(F.col("day_").alias("d"), F.col(c).alias("v")))
-        out = out.withColumns(
-            {"before_": F.last(at, ignorenulls=True).over(back), "after_": F.first(at, ignorenulls=True).over(ahead)}
-        )
+        last = F.last(at, ignorenulls=True)
+        out = out.withColumns({"before_": last.over(back), "after_": last.over(ahead)})
         d1, d2 = F.col("day_") - F.col("before_.d"), F.col("after_.d") - F.col("day_")
         v1, v2 = F.col("before_.v"), F.col("after_.v")
         out = out.withColumn(
@@ -81,12 +82,14 @@ def interpolated(panel: DataFrame, columns: tuple[str, ...] = ("tmin_c", "tmax_c
     return out.drop("day_")
 
 
-def canonical(obs: DataFrame, season: Season | None, ingest: str | None = None) -> DataFrame:
+def canonical(
+    obs: DataFrame, season: Season | None, ingest: str | None = None, bounds: DataFrame | None = None
+) -> DataFrame:
     """Validate, take the first row of a day, regularise, void, flag, interpolate, cut to the season.
 
     The season keeps its spin-up days; gaps are filled before it is cut, across its borders.
     """
-    panel = capped_rain(regularized(first_of_day(validated(obs), ingest)))
+    panel = capped_rain(regularized(first_of_day(validated(obs), ingest), bounds))
     panel = panel.withColumn("rain_is_imputed", F.col("rain_mm").isNull())
     panel = interpolated(panel)
     return panel if season is None else panel.where(in_season(F.col("date"), season, spin_up=True))

@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import JJAS, LEADS, OND
+from ..config import JJAS, LEADS, OND, Season
 from ..functions.agro import in_season
 from ..operators import features as feat
 from ..operators import labels as lab
 from ..operators import models, panel, soil, verify
-from ..sources.adapters import OBSERVATIONS_SQL, TELECONNECTIONS_SQL, observations, read, teleconnections
+from ..sources.adapters import OBSERVATIONS_SQL, TELECONNECTIONS_SQL, bounds, observations, read, teleconnections
 from .registry import cte, query, r, rounded, sql
 
 PI2 = repr(2 * math.pi)
@@ -163,8 +163,12 @@ feats AS (
 # ---- DataFrames -------------------------------------------------------------------------------
 
 
+def whole_panel(spark: SparkSession, sf_dir: str, season: Season | None = None) -> DataFrame:
+    return panel.canonical(observations(spark, sf_dir), season, bounds=bounds(spark, sf_dir))
+
+
 def season_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.canonical(observations(spark, sf_dir), JJAS)
+    return whole_panel(spark, sf_dir, JJAS)
 
 
 def balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,21 +190,22 @@ def label_panel(spark: SparkSession, sf_dir: str, lead: int) -> DataFrame:
     sql(f"SELECT block_id, date, {r('rain_mm')}, {r('ens_dry_fraction')}, rain_mm IS NULL AS rain_is_imputed FROM reg", "reg"),
 )
 def panel_regularize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = panel.capped_rain(panel.regularized(panel.first_of_day(panel.validated(observations(spark, sf_dir)))))
+    found = panel.capped_rain(panel.regularized(panel.first_of_day(panel.validated(observations(spark, sf_dir))), bounds(spark, sf_dir)))
     return rounded(found.select("block_id", "date", "rain_mm", "ens_dry_fraction", F.col("rain_mm").isNull().alias("rain_is_imputed")))
 
 
 @query(
     "panel_season_window",
     sql(
-        """SELECT year(date)::INT AS season, count(*)::BIGINT AS with_spin_up, count(*) FILTER (sday >= 152)::BIGINT AS in_season, min(date) AS first_day, max(date) AS last_day,
-        (SELECT count(*) FROM clean o WHERE o.sday BETWEEN 274 AND 365 AND year(o.date) = year(p.date))::BIGINT AS post_monsoon
-        FROM panel p GROUP BY year(date)""",
-        "panel",
+        """SELECT year(date)::INT AS season, count(*) FILTER (sday BETWEEN 122 AND 273)::BIGINT AS with_spin_up,
+        count(*) FILTER (sday BETWEEN 152 AND 273)::BIGINT AS in_season, min(date) FILTER (sday BETWEEN 122 AND 273) AS first_day,
+        max(date) FILTER (sday BETWEEN 122 AND 273) AS last_day, count(*) FILTER (sday BETWEEN 274 AND 365)::BIGINT AS post_monsoon
+        FROM clean GROUP BY 1 HAVING count(*) FILTER (sday BETWEEN 122 AND 273) > 0""",
+        "clean",
     ),
 )
 def panel_season_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = panel.canonical(observations(spark, sf_dir), None).select("block_id", "date")
+    whole = whole_panel(spark, sf_dir).select("block_id", "date")
     day = F.col("date")
     spin, core, late = in_season(day, JJAS, True), in_season(day, JJAS), in_season(day, OND)
     return (
@@ -218,7 +223,7 @@ def panel_season_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("panel_interpolate_temp", sql(f"SELECT block_id, date, {r('tmin_c')}, {r('tmax_c')} FROM clean", "clean"))
 def panel_interpolate_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = panel.canonical(observations(spark, sf_dir), None)
+    whole = whole_panel(spark, sf_dir)
     return rounded(whole.select("block_id", "date", "tmin_c", "tmax_c"))
 
 
@@ -234,7 +239,7 @@ def panel_interpolate_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def panel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
-    return rounded(panel.report(obs, panel.canonical(obs, JJAS)))
+    return rounded(panel.report(obs, season_panel(spark, sf_dir)))
 
 
 @query("et0_hargreaves", sql(f"SELECT block_id, date, {r('ra_mm')}, {r('et0_mm')} FROM et0", "et0"))

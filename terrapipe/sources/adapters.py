@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the first and the last day of the orders."""
+    day = F.to_date("o_orderdate")
+    return read(spark, sf_dir, "orders").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily observations of each nation, from its orders: some days absent, some values missing."""
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
@@ -20,9 +26,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("block_id", "date")
         .agg(F.min_by("o_totalprice", "o_orderkey").alias("price"))
     )
-    first, last = orders.agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
-    days = F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day")))
-    grid = customer.select(F.col("c_nationkey").alias("block_id")).distinct().withColumn("date", days)
+    days = F.explode(F.sequence("first", "last", F.expr("interval 1 day")))
+    blocks = customer.select(F.col("c_nationkey").alias("block_id")).distinct()
+    grid = blocks.crossJoin(F.broadcast(bounds(spark, sf_dir))).select("block_id", days.alias("date"))  # one row
     b, doy = F.col("block_id"), F.dayofyear("date")
     gap = ((F.floor(doy / 5) + b) % 11 == 0) | ((F.floor(doy / 9) + b) % 13 == 0)
     tmin = 10.0 + (b % 5) + 0.03 * doy
@@ -64,9 +70,9 @@ obs AS (
 
 def teleconnections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slow and a faster wave over the days of the orders."""
-    span = read(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
     day = F.datediff("date", F.lit("1995-01-01").cast("date"))
-    return span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date")).select(
+    days = F.explode(F.sequence("first", "last", F.expr("interval 1 day")))
+    return bounds(spark, sf_dir).select(days.alias("date")).select(
         "date", F.sin(day / 200.0).alias("oni"), F.abs(F.sin(day / 7.0)).alias("mjo_amplitude")
     )
 
