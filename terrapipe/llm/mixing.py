@@ -14,6 +14,7 @@ from .common import WORD, small_batches, written
 
 WEIGHT_CYCLE = (5, 2, 1)
 _SLOT_CHUNK = 50_000
+_MOST_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -23,43 +24,43 @@ class Mix:
     block_words: int = 32
     max_repeat: int = 3
     out_shards: int = 64
+    group: int = 4_096  # sources whose counts one task draws
     seed: int = 17
-    max_sources: int = 100_000  # source totals are gathered on the driver; more is an error
 
 
-def water_fill(sizes: list[int], weights: list[int], max_repeat: int) -> list[float]:
-    """Shares of the total by weight, none above ``max_repeat`` times its size.
+def with_targets(sources: DataFrame, max_repeat: int) -> DataFrame:
+    """``sources`` (n, weight) with their target: shares of the total by weight, none above ``max_repeat`` times n.
 
-    What the capped ones leave is shared again by weight among the rest until none is above.
+    What the capped ones leave is shared again by weight among the rest until none is above. Each
+    round is one aggregate of one row; a source once capped stays so, as the level only rises.
     """
-    targets = [0.0] * len(sizes)
-    open_, left = set(range(len(sizes))), float(sum(sizes))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        full = {i for i in open_ if left * weights[i] / total >= max_repeat * sizes[i]}
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / total
+    cap = F.col("n") * max_repeat
+    total, weights, capped = sources.agg(F.sum("n"), F.sum("weight"), F.lit(0)).first()
+    level, left = 0.0, float(total or 0)
+    while weights:
+        level = left / weights
+        full = cap <= F.lit(level) * F.col("weight")
+        taken, weights, now = sources.agg(
+            F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)
+        ).first()
+        if now == capped:
             break
-        for i in full:
-            targets[i] = float(max_repeat * sizes[i])
-        left -= sum(targets[i] for i in full)
-        open_ -= full
-    return targets
+        left, capped = float(total - taken), now
+    return sources.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def draw_counts(blocks: list[int], out_shards: int, seed: int) -> np.ndarray:
+def draw_counts(blocks: list[int], out_shards: int, seed: int | list[int], wanted: list[int] | None = None) -> np.ndarray:
     """Multinomial counts of each source in each output shard; column sums equal ``blocks``.
 
     Every shard draws with probabilities in proportion to what remains of each source. Draws
     beyond what remains are drawn again among the others, so the errors of early shards are made
-    good by later ones and the totals end exact.
+    good by later ones and the totals end exact. ``wanted``: row sums, nearly equal if not given.
     """
     rng = np.random.default_rng(seed)
     remaining = np.array(blocks, np.int64)
     out = np.zeros((out_shards, len(blocks)), np.int64)
     for k in range(out_shards):
-        want = int(-(-remaining.sum() // (out_shards - k)))
+        want = int(-(-remaining.sum() // (out_shards - k))) if wanted is None else int(wanted[k])
         while want > 0:
             left = remaining - out[k]
             took = np.minimum(rng.multinomial(want, left / left.sum()), left)
@@ -107,6 +108,70 @@ class MixedDocuments:
         self.drawn = drawn  # out_shard, slot, source_id, pass, block, part, tie, lo, hi
 
 
+def _ranked(totals: DataFrame, mix: Mix) -> DataFrame:
+    """One row for each source: of, source_id (by code point, null last), source_size, target, n_blocks, wanted."""
+    order = F.asc_nulls_last("source")
+    ranged = written(
+        totals.groupBy("source").agg(F.sum("part_words").alias("n")).repartitionByRange(order).withColumn("at", F.spark_partition_id()),
+        "mix-source-ranges",
+    )
+    before = W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    ahead = ranged.groupBy("at").count().select("at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    own = F.row_number().over(W.partitionBy("at").orderBy(order)) - 1
+    named = ranged.withColumn("own", own).join(F.broadcast(ahead), "at").withColumn("source_id", F.col("own") + F.col("ahead"))
+    weights = F.array(*map(F.lit, WEIGHT_CYCLE))
+    weighed = written(
+        named.select("source", "n", "source_id", F.get(weights, F.col("source_id") % len(WEIGHT_CYCLE)).alias("weight")),
+        "mix-source-weights",
+    )
+    n_blocks = F.ceil(F.col("n") / mix.block_words)
+    return written(
+        with_targets(weighed, mix.max_repeat).select(
+            F.col("source").alias("of"), "source_id", F.col("n").alias("source_size"), "target", n_blocks.alias("n_blocks"),
+            F.coalesce(F.round(F.try_divide(F.col("target") * n_blocks, F.col("n"))).cast("long"), F.lit(0)).alias("wanted"),
+        ),
+        "mix-sources",
+    )
+
+
+def _planned(sources: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
+    """Runs of slots: out_shard, source_id, n, first (place in the source), slot0, n_blocks; and the slots in all.
+
+    Counts are drawn in two steps: of each group of sources in every shard, then, in a task for
+    each group, of its sources. The driver holds one row for each group.
+    """
+    grouped = sources.where("wanted > 0").withColumn("group", F.expr(f"source_id div {mix.group}"))
+    totals = sorted(map(tuple, grouped.groupBy("group").agg(F.sum("wanted")).collect()))
+    counts = draw_counts([n for _, n in totals], mix.out_shards, mix.seed) if totals else np.zeros((mix.out_shards, 0), np.int64)
+    across = np.cumsum(counts, axis=1) - counts
+    groups = sources.sparkSession.createDataFrame(
+        [(g, counts[:, k].tolist(), across[:, k].tolist()) for k, (g, _) in enumerate(totals)],
+        "group long, shard_blocks array<long>, shard_slots array<long>",
+    )
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source_id")
+        shares, slots = np.array(pdf["shard_blocks"].iloc[0]), np.array(pdf["shard_slots"].iloc[0])
+        own = draw_counts(pdf["wanted"].tolist(), mix.out_shards, [mix.seed, int(pdf["group"].iloc[0])], shares.tolist())
+        shard, at = np.nonzero(own)
+        first, before = np.cumsum(own, axis=0) - own, np.cumsum(own, axis=1) - own
+        return pd.DataFrame(
+            {
+                "out_shard": shard,
+                "source_id": pdf["source_id"].to_numpy()[at],
+                "n": own[shard, at],
+                "first": first[shard, at],
+                "slot0": slots[shard] + before[shard, at],
+                "n_blocks": pdf["n_blocks"].to_numpy()[at],
+            }
+        )
+
+    plan = grouped.join(groups, "group").groupBy("group").applyInPandas(
+        draw, "out_shard int, source_id long, n long, first long, slot0 long, n_blocks long"
+    )
+    return plan, sum(n for _, n in totals)
+
+
 def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None = None) -> MixedDocuments:
     """Mix the words of ``docs`` so that each source holds its target share.
 
@@ -118,53 +183,34 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
     more than ``max_repeat`` passes, so no document is taken more often than that.
 
     Skew: offsets inside a source come from totals of range partitions of (source, doc_id), so a
-    source may hold any part of the rows. Gathered on the driver: one row per source (bounded by
-    ``max_sources``) and the counts of out_shards x sources.
+    source may hold any part of the rows, and there may be any number of sources. The driver gets
+    one row for each group of ``group`` sources.
     Defined cases: null and empty texts have size 0 and nothing of them is taken; a source without
-    words has the target 0; an empty table gives no rows; equal rows are separate documents;
-    other columns are ignored. The seed fixes the result. ``row_id`` names a column that is unique
-    to each row, where the caller has one.
+    words has the target 0; an empty table gives no rows; equal rows are separate documents, and
+    documents with one doc_id stand in order of their texts' hash, so the layout of the input
+    plays no part; other columns are ignored. The seed fixes the result. ``row_id`` names a column
+    that is unique to each row, where the caller has one.
     """
     mix = mix or Mix()
-    spark = docs.sparkSession
     narrow = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("mark"),
         (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("tie"),
     )
-    ranged = narrow.repartitionByRange("source", "doc_id", "tie").withColumn("part", F.spark_partition_id())
-    ranged = written(ranged, "mix-ranges")
-
-    totals = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_words"))
-    by_source = totals.groupBy("source").agg(F.sum("part_words").alias("n")).limit(mix.max_sources + 1).collect()
-    if len(by_source) > mix.max_sources:
-        raise ValueError(f"more than {mix.max_sources} sources")
-    by_source.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r.n for r in by_source]
-    targets = water_fill(sizes, [WEIGHT_CYCLE[i % len(WEIGHT_CYCLE)] for i in range(len(sizes))], mix.max_repeat)
-    n_blocks = [-(-n // mix.block_words) for n in sizes]
-    wanted = [round(t * b / n) if n else 0 for t, b, n in zip(targets, n_blocks, sizes, strict=True)]
-    counts = draw_counts(wanted, mix.out_shards, mix.seed) if sum(wanted) else np.zeros((0, len(sizes)), np.int64)
-
-    sources = spark.createDataFrame(
-        [(r.source, i, n, t, b) for i, (r, n, t, b) in enumerate(zip(by_source, sizes, targets, n_blocks, strict=True))],
-        "of string, source_id int, source_size long, target double, n_blocks long",
-    )
-    # One row for each run of slots; long runs are cut so that no task makes more than a chunk from a row.
-    first = np.cumsum(counts, axis=0) - counts
-    across = np.cumsum(counts, axis=1) - counts
-    plan = spark.createDataFrame(
-        [
-            (k, i, int(counts[k, i]), int(first[k, i]), int(across[k, i]), n_blocks[i])
-            for k in range(len(counts))
-            for i in range(len(sizes))
-            if counts[k, i]
-        ],
-        "out_shard int, source_id int, n long, first long, slot0 long, n_blocks long",
+    place = ("doc_id", "mark", "tie")
+    ranged = written(
+        narrow.repartitionByRange("source", *place).withColumn("part", F.spark_partition_id()), "mix-ranges"
     )
+    totals = ranged.groupBy("source", "part").agg(F.sum("size").alias("part_words"))
+    sources = _ranked(totals, mix)
+    plan, n_slots = _planned(sources, mix)
+
+    # Long runs are cut, and dealt out by number: the rows of the plan say nothing of what they become.
+    tasks = min(_MOST_TASKS, max(1, -(-n_slots // _SLOT_CHUNK)))
     chunks = plan.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {_SLOT_CHUNK}L)"))).repartition(
-        "out_shard", "source_id", "at"
+        tasks, "out_shard", "source_id", "at"
     )
     permute = F.pandas_udf(_permuted, "long")
     slots = (
@@ -184,8 +230,8 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
     offsets = totals.select(
         "source", "part", F.coalesce(F.sum("part_words").over(before), F.lit(0)).alias("words_before")
     )
-    upto = W.partitionBy("part", "source").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, 0)
-    known = offsets.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).select(
+    upto = W.partitionBy("part", "source").orderBy(*place).rowsBetween(W.unboundedPreceding, 0)
+    known = offsets.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
         "of", F.col("part").alias("at_part"), "words_before", "source_id"
     )
     placed = (
@@ -205,10 +251,10 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
             F.greatest(F.col("block") * b - F.col("start"), F.lit(0)).alias("lo"),
             F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")).alias("hi"),
         )
-    )
+    )
     # The slots come from a few plan rows, so their size is underrated: both sides are to be shuffled.
     drawn = slots.hint("merge").join(pieces.hint("merge"), ["source_id", "block"])
-    rows = ranged.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).select(
+    rows = ranged.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
         "part", "tie", "doc_id", "size", "source_size", "target"
     )
     return MixedDocuments(rows, sources, drawn)
@@ -228,12 +274,17 @@ def mixed_texts(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
     A document of which a pass takes every word keeps its text as it is; otherwise the words taken
     are joined by blanks. All columns of ``docs`` (doc_id, text, lang, source, n_chars, ...) are
-    kept; n_chars counts the characters of the new text. Documents without words are not in a mix.
+    kept, whatever their names; n_chars counts the characters of the new text. Documents without
+    words are not in a mix: null and empty texts go. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     columns = docs.columns
     numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-docs")
-    mixed = mix_documents(numbered.select("doc.*", F.col("row").alias("row_of_mix")), mix, row_id="row_of_mix")
+    mixed = mix_documents(
+        numbered.select(*[F.col("doc")[c].alias(c) for c in ("doc_id", "text", "source")], F.col("row").alias("row_of_mix")),
+        mix,
+        row_id="row_of_mix",
+    )
     pieces = mixed.drawn.groupBy(F.col("tie").alias("of_row"), "pass").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("pieces"),
         F.sum(F.col("hi") - F.col("lo")).alias("taken"),

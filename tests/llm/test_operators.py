@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from terrapipe.llm import chat, components, decontamination, language_id, licenses, mixing, near_duplicates, quality_classifier, quality_rules, sharding, toxicity
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, part int, tie string, key string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, part int, tie string, key string, row_of_mix long, keep_id long, key_ string, doc string, label string"
 _rnd = random.Random(8)
 _EN = "the of and to in that is was for on with as it by are this be from or an at not".split()
 _DE = "der die und den von zu das mit sich auf ist im dem nicht ein eine als auch es an".split()
@@ -49,7 +49,7 @@ ONE_EACH = ("shard", "mix", "rules", "near", "lang", "quality", "toxic")
 
 
 def table(spark, rows=ROWS):
-    full = [(*r, len(r[1]) if r[1] is not None else None, 1, 0.5, 2, "t", "k") for r in rows]
+    full = [(*r, len(r[1]) if r[1] is not None else None, 1, 0.5, 2, "t", "k", 5, 6, "k", "d", "l") for r in rows]
     return spark.createDataFrame(full, DOCS)
 
 
@@ -75,6 +75,28 @@ def test_shards(spark):
     assert {r.n for r in hot.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()} == {75}
 
 
+def test_targets_fill_up(spark):
+    def targets(sizes, weights):
+        rows = list(zip(range(len(sizes)), sizes, weights, strict=True))
+        frame = spark.createDataFrame(rows, "id int, n long, weight int")
+        return [r.target for r in mixing.with_targets(frame, 3).orderBy("id").collect()]
+
+    assert targets([10, 10, 10], [5, 2, 1]) == [18.75, 7.5, 3.75]
+    got = targets([1, 100, 100], [5, 2, 1])
+    assert got[0] == 3.0 and abs(sum(got) - 201) < 1e-9 and abs(got[1] / got[2] - 2) < 1e-9
+    assert targets([0, 5], [5, 2]) == [0.0, 5.0]
+    assert targets([0], [5]) == [0.0] and targets([], []) == []
+
+
+def test_mix_does_not_depend_on_the_layout_of_the_input(spark):
+    rows = [(i // 3, prose(20 + i), "en", f"s{i % 11}" if i % 11 else None) for i in range(90)]
+    docs = table(spark, rows)
+    take = lambda d, mix=None: sorted(map(str, mixing.words_taken(d, mix).collect()))
+    assert take(docs) == take(docs.orderBy(F.desc("text")).repartition(7))
+    few = mixing.words_taken(docs, mixing.Mix(group=4)).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+    assert len(few) >= 3 and all(abs(r.target - r.n) <= 64 or r.n > r.target for r in few)
+
+
 def test_mix_takes_what_it_should(spark):
     rows = [(i, prose(100), "en", "abc"[i % 3] if i else None) for i in range(60)]
     docs = table(spark, rows)
