@@ -200,6 +200,8 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
         (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("tie"),
     )
     place = ("doc_id", "mark", "tie")
+    # Range partitioning reads its input twice: let that be these narrow rows, not the texts.
+    narrow = written(narrow, "mix-rows")
     ranged = written(
         narrow.repartitionByRange("source", *place).withColumn("part", F.spark_partition_id()), "mix-ranges"
     )

@@ -31,7 +31,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, overhead: int = 8) -> Da
         # Only parts equal rows of one hot id, so that the range partitioning can split them.
         F.monotonically_increasing_id().alias("tie"),
     )
-    ranged = rows.repartitionByRange("doc_id", "text_crc32", "tie")
+    # Range partitioning reads its input twice: let that be these narrow rows, not the texts.
+    ranged = written(rows, "shard-rows").repartitionByRange("doc_id", "text_crc32", "tie")
     ranged = written(ranged.withColumn("part", F.spark_partition_id()), "shard-ranges")
 
     totals = ranged.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count(F.lit(1)).alias("part_rows"))

@@ -39,6 +39,34 @@ SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id,
 FROM named d LEFT JOIN texts USING (body) LEFT JOIN classes USING (node) LEFT JOIN counted USING (node)
 """
 
+# CRC-32 from its polynomial: a table of 256 remainders, then one step for each byte.
+_SHARDS = """
+WITH RECURSIVE poly(n, k, c) AS (
+  SELECT range::BIGINT, 0, range::BIGINT FROM range(256)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY n) AS t FROM poly WHERE k = 8
+), rows_ AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+  FROM documents
+), summed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM rows_, tab
+), placed AS (
+  SELECT *, sum(size) OVER w AS upto, row_number() OVER w - 1 AS position, sum(size) OVER () AS total
+  FROM summed WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING)
+), cut AS (
+  SELECT *, least((2 * upto - size) * 24 // (2 * total), 23)::INT AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  (position - min(position) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM cut
+"""
+
 ORACLE_SQL = {
+    "op3_sharding": _SHARDS,
     "op6_near_duplicates": _NEAR,
 }
