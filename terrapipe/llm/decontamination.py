@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, utf8_bytes
 
@@ -185,8 +186,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
     """
     small_batches(docs.sparkSession)
     how = how or Tiling()
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    arrow_item = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = (
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, coverage double, matched int, "
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
+        f"item_id {item_type}, coverage double, matched int, "
         "item_tokens int, tiles array<struct<item_at: int, doc_at: int, length: int>>"
     )
     arrow_tiles = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))
@@ -204,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(at, pa.int64())),
-                        pa.array([r[0] for r in rows], pa.int64()),
+                        pa.array([r[0] for r in rows], arrow_item),
                         pa.array([r[1] for r in rows], pa.float64()),
                         pa.array([r[2] for r in rows], pa.int32()),
                         pa.array([r[3] for r in rows], pa.int32()),
@@ -219,7 +223,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = None) -> DataFrame:
-    """``docs`` without the documents that ``contaminated`` returns; all columns stay as they are."""
+    """``docs`` without the documents that ``contaminated`` returns; all columns stay as they are.
+
+    Null, empty and token-free texts stay; of repeated rows all stay or go; items without tokens
+    match nothing; an empty table of items leaves all documents.
+    """
     small_batches(docs.sparkSession)
     how = how or Tiling()
     for items in _blocks(benchmark, how):

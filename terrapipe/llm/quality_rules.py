@@ -37,7 +37,6 @@ class DivergenceRule:
     min_chars: int = 100  # shorter texts are not measured by character class
     min_words: int = 50  # texts of fewer words are not measured by common words
     common_words: int = 50  # of each language
-    max_languages: int = 500  # more distinct values of lang than this is an error
 
 
 def _class_table() -> np.ndarray:
@@ -88,8 +87,12 @@ def repeated_words(words: list[bytes]) -> int:
     if not same.any():
         return 0
     twice = np.zeros(len(eight), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    left, right = order[:-1][same], order[1:][same]
+    if all(words[i : i + WINDOW] == words[j : j + WINDOW] for i, j in zip(left.tolist(), right.tolist(), strict=True)):
+        twice[left] = twice[right] = True
+    else:  # two windows have one hash: count the windows themselves
+        found = Counter(tuple(words[i : i + WINDOW]) for i in range(len(eight)))
+        twice[:] = [found[tuple(words[i : i + WINDOW])] > 1 for i in range(len(eight))]
     at = np.flatnonzero(twice)
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, at, 1)
@@ -160,13 +163,12 @@ def language_references(docs: DataFrame, rule: DivergenceRule) -> dict[str, tupl
         .withColumn("rank", F.row_number().over(top))
         .where(F.col("rank") <= max(rule.common_words + 1, n_classes))
     )
-    most = rule.max_languages * (n_classes + rule.common_words + 1)
-    rows = kept.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {rule.max_languages} languages")
+    rows = kept.collect()  # one row for each class and common word of a language
+    own_rows = defaultdict(dict)
+    for r in rows:
+        own_rows[r.lang][r["item"]] = r.n
     out: dict = {}
-    for lang in sorted({r.lang for r in rows}):
-        own = {r.item: r.n for r in rows if r.lang == lang}
+    for lang, own in sorted(own_rows.items()):
         shares = np.array([own.get(f"c{i}", 0) for i in range(n_classes)], float)
         total = own.pop("w", 0)
         words = {k[1:].encode(): n / total for k, n in own.items() if k[0] == "w"} if total else {}
@@ -201,6 +203,11 @@ class _Judge:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Counts, base_failed, kept, class distance and word distance (NaN: not measured)."""
+        step = max(1, 2_000_000 // (len(self.vocabulary) + 1))  # bounds the table of texts by words
+        parts = [self._judged(texts[at : at + step]) for at in range(0, max(1, len(texts)), step)]
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def _judged(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         n, outside, rule = len(texts), len(self.vocabulary), self.rule
         get = self.vocabulary.get
         counts = np.array([base_counts(x) for x in texts], np.int64).reshape(-1, 5)
@@ -266,7 +273,11 @@ def quality_rules(docs: DataFrame, rule: DivergenceRule | None = None) -> DataFr
 
 
 def keep_good(docs: DataFrame, rule: DivergenceRule | None = None) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with all their columns as they are."""
+    """The documents that ``quality_rules`` keeps, with all their columns as they are.
+
+    Null and empty texts, and all of fewer than 20 words, go; of repeated rows all stay or go; other
+    columns may have any name; an empty table gives no rows.
+    """
     rule = rule or DivergenceRule()
     judge = _Judge(language_references(docs, rule), rule)
 

@@ -66,7 +66,73 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
+_RULES = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, text, coalesce(regexp_extract_all(text, '{WORD}'), []) AS words FROM documents
+), windows AS (
+  SELECT id, i, array_to_string(words[i:i + 7], ' ') AS run
+  FROM (SELECT id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) > 8)
+), twice AS (
+  SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, run) > 1
+), repeated AS (
+  SELECT id, count(DISTINCT i + k) AS n FROM twice, range(8) t(k) GROUP BY id
+), base AS (
+  SELECT d.id, doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+    coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0)::BIGINT AS n_symbols,
+    coalesce(len(filled) - len(list_distinct(filled)), 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS filled FROM docs) d
+  LEFT JOIN repeated r ON r.id = d.id
+), letters AS (
+  SELECT id, ch, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM docs) GROUP BY ALL
+), kinds AS (
+  SELECT ch, CASE WHEN ch BETWEEN 'a' AND 'z' THEN 0 WHEN unicode(ch) > 65535 THEN 2 WHEN regexp_matches(ch, '\p{{Lu}}') THEN 1
+    WHEN regexp_matches(ch, '[\p{{Nd}}\x{{B2}}\x{{B3}}\x{{B9}}]') THEN 3 WHEN regexp_matches(ch, '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]') THEN 4
+    WHEN regexp_matches(ch, '[.,;:\x27"?-]') THEN 5 WHEN NOT regexp_matches(ch, '\p{{L}}') AND unicode(ch) < 8448 THEN 6 ELSE 2 END AS kind
+  FROM (SELECT DISTINCT ch FROM letters)
+), counted AS (
+  SELECT id, kind, sum(n) AS n FROM letters JOIN kinds USING (ch) GROUP BY ALL
+), sized AS (
+  SELECT id, sum(n) AS chars FROM counted GROUP BY id
+), class_refs AS (
+  SELECT lang, kind, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q
+  FROM docs JOIN counted USING (id) WHERE lang IS NOT NULL GROUP BY lang, kind
+), class_grid AS (
+  SELECT s.id, l.lang, coalesce(c.n / chars, 0) AS p, coalesce(r.q, 0) AS q
+  FROM sized s CROSS JOIN (SELECT DISTINCT lang FROM class_refs) l CROSS JOIN range(7) k(kind)
+  LEFT JOIN counted c ON c.id = s.id AND c.kind = k.kind LEFT JOIN class_refs r ON r.lang = l.lang AND r.kind = k.kind
+), tokens AS (
+  SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM docs) GROUP BY ALL
+), lang_words AS (
+  SELECT lang, word, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS all_n
+  FROM docs JOIN tokens USING (id) WHERE lang IS NOT NULL GROUP BY lang, word
+), common AS (
+  SELECT lang, word, n / all_n AS q FROM lang_words QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 50
+), word_grid AS (
+  SELECT b.id, c.lang, coalesce(t.n / b.n_words, 0) AS p, q
+  FROM base b CROSS JOIN common c LEFT JOIN tokens t ON t.id = b.id AND t.word = c.word WHERE b.n_words >= 50
+  UNION ALL
+  SELECT b.id, c.lang, greatest(0, 1 - sum(coalesce(t.n / b.n_words, 0))), greatest(0, 1 - sum(q))
+  FROM base b CROSS JOIN common c LEFT JOIN tokens t ON t.id = b.id AND t.word = c.word WHERE b.n_words >= 50 GROUP BY ALL
+), class_far AS (
+  SELECT id, min(d) AS d FROM (
+    SELECT id, lang, sqrt(least(1, greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+      + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d FROM class_grid GROUP BY ALL) GROUP BY id
+), word_far AS (
+  SELECT id, min(d) AS d FROM (
+    SELECT id, lang, sqrt(least(1, greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+      + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d FROM word_grid GROUP BY ALL) GROUP BY id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(class_distance > 0.3, FALSE) AND NOT coalesce(word_distance > 0.45, FALSE) AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM (
+  SELECT b.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN s.chars >= 100 THEN c.d END AS class_distance, w.d AS word_distance
+  FROM base b LEFT JOIN sized s USING (id) LEFT JOIN class_far c USING (id) LEFT JOIN word_far w USING (id))
+"""
+
 ORACLE_SQL = {
+    "op9_quality_rules": _RULES,
     "op3_sharding": _SHARDS,
     "op6_near_duplicates": _NEAR,
 }

@@ -2,12 +2,16 @@
 
 import collections
 import random
+import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrapipe.llm import chat, components, decontamination, language_id, licenses, mixing, near_duplicates, quality_classifier, quality_rules, sharding, toxicity
+from terrapipe.llm.sql import ORACLE_SQL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, part int, tie string, key string, row_of_mix long, keep_id long, key_ string, doc string, label string"
 _rnd = random.Random(8)
@@ -196,6 +200,8 @@ def test_reordered_leaks_are_found_and_others_left(spark):
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3]
     tiny = decontamination.Tiling(block_bytes=50)
     assert decontamination.contaminated(docs, bench, tiny).count() == 1
+    named = bench.select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("item_id"), "text")
+    assert [r.item_id for r in decontamination.contaminated(docs, named).collect()] == ["item 70"]
 
 
 def test_chats(spark):
@@ -245,3 +251,95 @@ def test_pipeline(spark):
         assert docs.columns == columns and docs.count() > 0
     got = corpus_pipeline.run(spark, sf)
     assert got.count() == docs.count()
+
+
+def _covered(item, text, least=4):
+    """Words of ``item`` that tiles cover, longest first, by trying all places."""
+    item, text = (re.findall(r"\w+", x.lower()) for x in (item, text))
+    least, n = min(least, len(item)), 0
+    while least:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(text)):
+                k = 0
+                while i + k < len(item) and d + k < len(text) and item[i + k] == text[d + k] is not None:
+                    k += 1
+                best = max(best, (k, -i, -d))
+        k, i, d = best[0], -best[1], -best[2]
+        if k < least:
+            break
+        n += k
+        item[i : i + k], text[d : d + k] = [None] * k, [None] * k
+    return n / max(1, len(item))
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """run() on a small folder against SQL and plain Python for each stage."""
+    import duckdb
+
+    item = "which " + prose(24, salt=0)
+    good = [prose(80, salt=0.7) for _ in range(14)]
+    leak = " ".join([prose(40, salt=0.9), *item.split()[12:], "and", *item.split()[:12]])
+    near = good[0].split()
+    near[-1] = "changed"
+    texts = [*good, " ".join(near), good[1], leak, prose(9), None, "", prose(70).upper(), "same words here again " * 30]
+    rows = [(i, x, "en", "abc"[i % 3] if i % 7 else None) for i, x in enumerate(texts)]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/sf/documents.parquet"
+    )
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, f"{tmp_path}/sf").select("doc_id", "size", "text_crc32", "shard", "slot").collect())
+
+    con = duckdb.connect()
+
+    def asked(name, those):
+        con.execute("create or replace table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+        con.executemany("insert into documents values (?, ?, ?, ?)", those)
+        return {r["doc_id"]: r for r in con.sql(ORACLE_SQL[name]).df().to_dict("records")}
+
+    kept = asked("op9_quality_rules", rows)
+    rows = [r for r in rows if kept[r[0]]["kept"]]
+    assert {r[0] for r in rows} == {*range(17)}
+    classes = asked("op6_near_duplicates", rows)
+    rows = [r for r in rows if classes[r[0]]["class_id"] == r[0]]
+    assert {r[0] for r in rows} == {*range(14), 16}
+    rows = [r for r in rows if _covered(item, r[1]) < 0.5]
+    assert {r[0] for r in rows} == {*range(14)}
+
+    # Mixing: words of a source in order of doc_id, in blocks; the blocks that the slots name, pass by pass.
+    mix = mixing.Mix()
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    words = [[(r[0], w) for r in rows if r[3] == s for w in r[1].split()] for s in names]
+    targets, open_ = [0.0] * len(names), set(range(len(names)))
+    left = float(sum(map(len, words)))
+    while open_:
+        level = left / sum((5, 2, 1)[k % 3] for k in open_)
+        full = {k for k in open_ if 3 * len(words[k]) <= level * (5, 2, 1)[k % 3]}
+        for k in full or open_:
+            targets[k] = min(3.0 * len(words[k]), level * (5, 2, 1)[k % 3])
+        left -= sum(targets[k] for k in full)
+        open_ = open_ - full if full else set()
+    taken = collections.defaultdict(list)  # (doc_id, pass): its words
+    for k, own in enumerate(words):
+        blocks = [own[at : at + mix.block_words] for at in range(0, len(own), mix.block_words)]
+        wanted = int(targets[k] * len(blocks) / len(own) + 0.5)
+        for turn in range(-(-wanted // len(blocks))):
+            n = min(len(blocks), wanted - turn * len(blocks))
+            key = spark.range(1).select(F.xxhash64(F.lit(mix.seed), F.lit(k).cast("long"), F.lit(turn).cast("long"))).first()[0]
+            drawn = mixing.permuted(np.full(n, key), np.arange(n), np.full(n, len(blocks)))
+            assert len(set(drawn.tolist())) == n
+            for b in sorted(drawn.tolist()):
+                for doc_id, w in blocks[b]:
+                    taken[doc_id, turn].append(w)
+    whole = {r[0]: r[1] for r in rows}
+    mixed = [(d, whole[d] if len(w) == len(whole[d].split()) else " ".join(w)) for (d, _), w in taken.items()]
+
+    sized = sorted((d, zlib.crc32(x.encode()), len(x.encode()) + 8) for d, x in mixed)
+    total, upto, want, slots = sum(x[2] for x in sized), 0, [], collections.Counter()
+    for doc_id, crc, size in sized:
+        upto += size
+        shard = min((2 * upto - size) * 24 // (2 * total), 23)
+        want.append((doc_id, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+    assert got == sorted(want)
