@@ -12,7 +12,7 @@ from ..operators import learners, models, verify
 from ..sources.adapters import teleconnections
 from ..streaming import state
 from . import rules, weather
-from .registry import SQL, query, rounded
+from .registry import SQL, query, r, rounded, sql
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +83,7 @@ def stream_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replayed(rows, state.stream_dry_run)
 
 
-@query("stream_bucket")
+@query("stream_bucket", sql(f"SELECT block_id, date, {r('soil_moisture_mm')} FROM bal", "bal"))
 def stream_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..config import FALLBACK_LATITUDE
     from ..functions.agro import et0

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import AWC_MM, HYSTERESIS_CYCLES, INITIAL_FILL, RAINY_DAY_MM
@@ -86,12 +87,15 @@ def daily_rain(readings: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def audit(events: DataFrame, events_path: str, advisories_path: str, checkpoint: str):  # noqa: ANN201
-    """Append every evaluation to one table and those that are not silent to another, once each."""
+    """Every evaluation in one table and those that are not silent in another, once each.
+
+    A batch is the partition ``epoch`` of both tables and replaces it, so a batch that runs again
+    after a failure leaves the rows it left before.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("epoch", F.lit(epoch))
-        rows.write.mode("append").parquet(events_path)
-        rows.where("action <> 'abstain'").write.mode("append").parquet(advisories_path)
+        for rows, path in ((batch, events_path), (batch.where("action <> 'abstain'"), advisories_path)):
+            rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -102,28 +106,35 @@ def folder(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-stream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def replayed(rows: DataFrame, make, parts: int = 3) -> DataFrame:  # noqa: ANN001
-    """Run ``make`` over ``rows`` streamed in ``parts`` files in order of date, and read what it made."""
+    """Run ``make`` over ``rows`` streamed in ``parts`` stretches in order of date, and read what it made.
+
+    The rows are written once. Each stretch arrives as many files, and one run with the same
+    checkpoint takes them all, so the batches are in order of date and none is one task's work.
+    """
     spark = rows.sparkSession
     base = folder(spark)
-    span = rows.agg(F.min("date"), F.max("date")).first()
-    days = (span[1] - span[0]).days + 1
+    w = F.broadcast(rows.agg(F.min("date").alias("first_"), F.max("date").alias("last_")))  # one row
+    days = F.datediff("last_", "first_") + 1
+    stretch = F.floor(F.datediff("date", "first_") * parts / days).cast("int")
+    rows.crossJoin(w).withColumn("stretch_", stretch).select(*rows.columns, "stretch_").write.partitionBy("stretch_").parquet(f"{base}/all")
+    whole = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("stretch_", T.IntegerType())])).parquet(f"{base}/all")
     for k in range(parts):
-        part = rows.where(F.floor(F.datediff("date", F.lit(span[0])) * parts / days) == k)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = (
-        make(stream)
-        .writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+        whole.where(F.col("stretch_") == k).drop("stretch_").write.mode("append").parquet(f"{base}/in")
+        query = (
+            make(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+            .writeStream.format("parquet")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.parquet(f"{base}/out")

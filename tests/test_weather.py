@@ -27,25 +27,25 @@ def column(df, name):
 
 
 def test_missing_rain_stays_missing(spark):
-    out = panel.canonical(frame(spark, days([40.0, math.nan, 0.0, 0.0, 5.0])), None)
-    assert column(out, "rain_mm") == [40.0, None, 0.0, 0.0, 5.0]
-    assert column(out, "rain_is_imputed") == [False, True, False, False, False]
+    out = panel.canonical(frame(spark, days([12.5, 0.0, math.nan, 3.75, math.nan, 0.5])), None)
+    assert column(out, "rain_mm") == [12.5, 0.0, None, 3.75, None, 0.5]
+    assert column(out, "rain_is_imputed") == [False, False, True, False, True, False]
 
 
 def test_implausible_rain_is_void(spark):
-    out = panel.canonical(frame(spark, days([0.0, 250.0, 5000.0, -3.0])), None)
-    assert column(out, "rain_mm") == [0.0, 250.0, None, None]
+    out = panel.canonical(frame(spark, days([1000.0, -0.1, 7.5, 1000.1, 999.0])), None)
+    assert column(out, "rain_mm") == [1000.0, None, 7.5, None, 999.0]
 
 
 def test_calendar_gap_becomes_rows(spark):
-    rows = [days([1.0])[0], ("A", dt.date(2020, 7, 5), 2.0, 25.0, 35.0)]
+    rows = [days([6.5])[0], ("A", dt.date(2020, 7, 4), 8.25, 21.0, 33.0)]
     out = panel.canonical(frame(spark, rows), None)
-    assert column(out, "rain_mm") == [1.0, None, None, None, 2.0]
+    assert column(out, "rain_mm") == [6.5, None, None, 8.25]
 
 
 def test_global_range_pads_short_blocks(spark):
-    rows = days([1.0, 1.0, 1.0]) + days([2.0], block="B")
-    assert panel.canonical(frame(spark, rows), None).count() == 6
+    rows = days([4.0, 0.5, 4.0, 0.5]) + days([9.0], block="B") + days([2.0, 2.0], block="C")
+    assert panel.canonical(frame(spark, rows), None).count() == 12
 
 
 def test_first_of_a_day_wins(spark):
@@ -82,19 +82,19 @@ def test_season_counts_leap_days_out(spark):
 
 
 def test_dry_runs(spark):
-    runs = soil.with_dry_runs(frame(spark, days([0.0, 0.0, 0.0, 10.0, 0.0, 0.0, 0.0])))
-    assert column(runs, "consecutive_dry_days") == [1, 2, 3, 0, 1, 2, 3]
-    assert column(soil.with_dry_runs(frame(spark, days([0.0, None, 0.0, 0.0]))), "consecutive_dry_days") == [1, 0, 1, 2]
+    runs = soil.with_dry_runs(frame(spark, days([1.5, 2.4, 2.5, 0.0, 0.3, 60.0, 1.0])))
+    assert column(runs, "consecutive_dry_days") == [1, 2, 0, 1, 2, 0, 1]
+    assert column(soil.with_dry_runs(frame(spark, days([9.0, 2.0, None, 1.0, 0.0]))), "consecutive_dry_days") == [0, 1, 0, 1, 2]
 
 
 def test_spell_starts(spark):
     def starts(rain):
         return column(labels.spell_starts(panel.canonical(frame(spark, days(rain)), None), 5), "spell_start")
 
-    assert starts([10.0, 0, 0, 0, 0, 10.0, 0, 0, 0, 0])[1] == 0.0
-    got = starts([10.0, 0, 0, 0, 0, 0, 0, 0])
+    assert starts([30.0, 2, 1, 0, 2, 4.5, 1, 1, 1, 1])[1] == 0.0
+    got = starts([5.5, 1, 2, 0, 1, 2, 0, 1])
     assert got[1] == 1.0 and got[2] == 0.0 and got[4] is None
-    assert starts([10.0, 0, None, 0, 0, 0, 0])[1] is None
+    assert starts([5.5, 1, None, 2, 0, 1, 2])[1] is None
 
 
 def test_bucket_matches_the_recursion(spark):
