@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 CHEAP = (
+    "review_latest", "review_queue", "rule_violations", "rules_envelope", "run_totals",
     "panel_season_window", "pentad_climatology", "panel_interpolate_temp", "soil_bucket", "features_all", "et0_hargreaves",
     "dry_run_length", "labels_L14", "panel_report", "coverage_totals", "can_approve", "hysteresis", "chunk_lines", "upsert_latest",
 )
