@@ -17,27 +17,27 @@ from terrapipe.llm.sharding import shard_by_bytes
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them; repeated rows go or stay together."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays, the one of least doc_id; texts without words all stay."""
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that give away a benchmark item go."""
+    """Documents that give away a benchmark item go; null, empty and token-free texts stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words of each source are repeated or thinned out to its target."""
+    """The words of each source are repeated or thinned out to its target; texts without words go."""
     return mixed_texts(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row of the mix."""
+    """The shard and slot of every row of the mix; a null text has no bytes, a null doc_id sorts first."""
     return shard_by_bytes(docs)
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: No stage's result but the last's could be written in SQL; see tests/llm for the brute-force versions.
+#: Tiling and mixing have no SQL; tests/llm holds run() against SQL (stages 1, 2) and plain Python (3, 4, 5).
 ORACLE_SQL = None
 
 
