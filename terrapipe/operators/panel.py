@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,21 +65,25 @@ def interpolated(panel: DataFrame, columns: tuple[str, ...] = ("tmin_c", "tmax_c
     back = by_block().rowsBetween(W.unboundedPreceding, 0)
     # The other way round: a frame that ends at the last row would be summed up anew for every row.
     ahead = W.partitionBy("block_id").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, 0)
-    out = panel.withColumn("day_", F.datediff("date", F.lit("1970-01-01").cast("date")))
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.struct(F.col("day_").alias("d"), F.col(c).alias("v")))
-        last = F.last(at, ignorenulls=True)
-        out = out.withColumns({"before_": last.over(back), "after_": last.over(ahead)})
-        d1, d2 = F.col("day_") - F.col("before_.d"), F.col("after_.d") - F.col("day_")
-        v1, v2 = F.col("before_.v"), F.col("after_.v")
-        out = out.withColumn(
-            c,
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+
+    def known(c: str) -> Column:
+        return F.last(F.when(F.col(c).isNotNull(), F.struct(day.alias("d"), F.col(c).alias("v"))), ignorenulls=True)
+
+    def filled(c: str) -> Column:
+        d1, d2 = day - F.col(f"before_{c}_.d"), F.col(f"after_{c}_.d") - day
+        v1, v2 = F.col(f"before_{c}_.v"), F.col(f"after_{c}_.v")
+        return (
             F.when(F.col(c).isNotNull(), F.col(c))
             .when(v1.isNotNull() & v2.isNotNull() & ((d1 <= limit) | (d2 <= limit)), v1 + (v2 - v1) * d1 / (d1 + d2))
             .when(v2.isNull() & (d1 <= limit), v1)
-            .when(v1.isNull() & (d2 <= limit), v2),
-        ).drop("before_", "after_")
-    return out.drop("day_")
+            .when(v1.isNull() & (d2 <= limit), v2)
+        )
+
+    # All columns share a window each way; the last one leaves the days in order for what follows.
+    out = panel.withColumns({f"after_{c}_": known(c).over(ahead) for c in columns})
+    out = out.withColumns({f"before_{c}_": known(c).over(back) for c in columns})
+    return out.select(*[filled(c).alias(c) if c in columns else F.col(c) for c in panel.columns])
 
 
 def canonical(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Lower edges of ten bins as floating-point numbers: .3, .6 and .7 lie under their edges.
 EDGES = tuple(float(x) for x in np.linspace(0, 1, 11)[:-1])
+SLICES = 1024  # of [0, 1], to rank probabilities in many tasks
 
 
 def brier(p: str = "p") -> Column:
@@ -48,11 +49,21 @@ def murphy(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Area under the curve by mid-ranks, from counts of each distinct p; null for one class only."""
+    """Area under the curve by mid-ranks, from counts of each distinct p; null for one class only.
+
+    The distinct p are ranked inside ``SLICES`` slices of [0, 1], and the totals of the slices
+    before are added, so no task orders all of them; only the totals, a row per slice, meet.
+    """
     counts = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
-    w = W.partitionBy(*by) if by else W.partitionBy()
-    before = F.coalesce(F.sum("n").over(w.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("n") + 1) / 2)
+    at = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * SLICES).cast("int")
+    counts = counts.withColumn("slice_", F.coalesce(at, F.lit(-1)))  # a missing p ranks first
+    upto = (W.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "slice_").agg(F.sum("n").alias("n_"))
+    earlier = F.coalesce(F.sum("n_").over(W.partitionBy(*by).orderBy("slice_").rowsBetween(*upto)), F.lit(0))
+    totals = totals.select(*by, "slice_", earlier.alias("earlier_"))
+    inside = F.sum("n").over(W.partitionBy(*by, "slice_").orderBy("p").rowsBetween(*upto))
+    ranked = counts.withColumn("inside_", F.coalesce(inside, F.lit(0))).join(totals, [*by, "slice_"])
+    ranked = ranked.withColumn("rank", F.col("earlier_") + F.col("inside_") + (F.col("n") + 1) / 2)
     n1, n0 = F.sum("ones"), F.sum(F.col("n") - F.col("ones"))
     area = (F.sum(F.col("rank") * F.col("ones")) - n1 * (n1 + 1) / 2) / (n1 * n0)
     return ranked.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), area).alias("auc"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import JJAS
 from ..operators import features as feat
 from ..operators import labels as lab
-from ..operators import learners, models, verify
+from ..operators import learners, models, soil, verify
 from ..sources.adapters import teleconnections
 from ..streaming import state
 from . import rules, weather
@@ -18,7 +18,7 @@ from .registry import SQL, query, r, rounded, sql
 def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training and test rows of every fold; the anomaly is fitted on the training seasons of the fold."""
     panel = weather.season_panel(spark, sf_dir)
-    rows = feat.fold_invariant(weather.balanced_panel(spark, sf_dir), JJAS, teleconnections(spark, sf_dir))
+    rows = feat.fold_invariant(soil.balanced(panel), JJAS, teleconnections(spark, sf_dir))
     for days in (5, 10):
         rows = rows.join(lab.labelled(panel, 14, days).select("block_id", "date", F.col("y").alias(f"y{days}")), ["block_id", "date"])
     invariant = [c for c in feat.NAMES if c != "rain_anomaly_15d"]

@@ -13,7 +13,7 @@ from ..functions.agro import in_season
 from ..operators import features as feat
 from ..operators import labels as lab
 from ..operators import models, panel, soil, verify
-from ..sources.adapters import OBSERVATIONS_SQL, TELECONNECTIONS_SQL, bounds, observations, read, teleconnections
+from ..sources.adapters import OBSERVATIONS_SQL, TELECONNECTIONS_SQL, bounds, observations, observed, read, teleconnections
 from .registry import cte, query, r, rounded, sql
 
 PI2 = repr(2 * math.pi)
@@ -164,7 +164,8 @@ feats AS (
 
 
 def whole_panel(spark: SparkSession, sf_dir: str, season: Season | None = None) -> DataFrame:
-    return panel.canonical(observations(spark, sf_dir), season, bounds=bounds(spark, sf_dir))
+    found, first_last = observed(spark, sf_dir)
+    return panel.canonical(found, season, bounds=first_last)
 
 
 def season_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +178,9 @@ def balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features; the climatology needs the rain only, so it is taken from the panel before the bucket."""
-    rows = feat.fold_invariant(balanced_panel(spark, sf_dir), JJAS, teleconnections(spark, sf_dir))
-    return feat.with_anomaly(rows, feat.pentad_climatology(season_panel(spark, sf_dir)))
+    days = season_panel(spark, sf_dir)
+    rows = feat.fold_invariant(soil.balanced(days), JJAS, teleconnections(spark, sf_dir))
+    return feat.with_anomaly(rows, feat.pentad_climatology(days))
 
 
 def label_panel(spark: SparkSession, sf_dir: str, lead: int) -> DataFrame:

@@ -12,13 +12,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the first and the last day of the orders."""
+    return days_of(read(spark, sf_dir, "orders"))
+
+
+def days_of(orders: DataFrame) -> DataFrame:
     day = F.to_date("o_orderdate")
-    return read(spark, sf_dir, "orders").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    return orders.agg(F.min(day).alias("first"), F.max(day).alias("last"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily observations of each nation, from its orders: some days absent, some values missing."""
+    return observed(spark, sf_dir)[0]
+
+
+def observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The observations and the one row of their bounds, over the same reading of the orders."""
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    first_last = days_of(orders)
     # The narrow customer side is small next to orders; its size decides how they are joined.
     prices = (
         orders.select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("date"))
@@ -28,11 +38,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     days = F.explode(F.sequence("first", "last", F.expr("interval 1 day")))
     blocks = customer.select(F.col("c_nationkey").alias("block_id")).distinct()
-    grid = blocks.crossJoin(F.broadcast(bounds(spark, sf_dir))).select("block_id", days.alias("date"))  # one row
+    grid = blocks.crossJoin(F.broadcast(first_last)).select("block_id", days.alias("date"))  # one row
     b, doy = F.col("block_id"), F.dayofyear("date")
     gap = ((F.floor(doy / 5) + b) % 11 == 0) | ((F.floor(doy / 9) + b) % 13 == 0)
     tmin = 10.0 + (b % 5) + 0.03 * doy
-    return (
+    found = (
         grid.join(prices, ["block_id", "date"], "left")
         .where((b * 31 + doy) % 53 != 0)
         .select(
@@ -44,6 +54,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             (((b * 7 + doy * 13) % 100) / 100.0).alias("ens_dry_fraction"),
         )
     )
+    return found, first_last
 
 
 OBSERVATIONS_SQL = """
