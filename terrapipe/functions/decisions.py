@@ -57,6 +57,9 @@ def hysteresis(decisions: DataFrame, key: str, order: str, cycles: int = HYSTERE
     before holds. A run of equal actions of that length takes over from its ``cycles``-th decision
     on, whatever held before it, so the action in force is that of the last such decision: two
     windows over the rows of a key, and no state.
+
+    ``cycle``: of a decision that is held, how often its action was seen in a row; null elsewhere.
+    Where there is a column ``reason``, a held one says so at its end.
     """
     w = W.partitionBy(key).orderBy(order)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
@@ -67,7 +70,15 @@ def hysteresis(decisions: DataFrame, key: str, order: str, cycles: int = HYSTERE
     firm = F.when(F.col("nth_") >= cycles, F.col("action"))
     out = out.withColumn("nth_", nth)
     out = out.withColumn("stable", F.coalesce(F.last(firm, ignorenulls=True).over(upto), first))
-    return out.withColumn("held", F.col("stable") != F.col("action")).drop("run_", "nth_")
+    held = F.col("stable") != F.col("action")
+    out = out.withColumns({"held": held, "cycle": F.when(held, F.col("nth_"))})
+    if "reason" in out.columns:
+        note = F.concat(
+            F.lit(" [held at "), F.col("stable"), F.lit(": "), F.col("action"), F.lit(" seen "),
+            F.col("cycle").cast("string"), F.lit(f"/{cycles} cycles]"),
+        )
+        out = out.withColumn("reason", F.when(held, F.concat(F.col("reason"), note)).otherwise(F.col("reason")))
+    return out.drop("run_", "nth_")
 
 
 def days_since_sowing(as_of: Column, month: int, day: int) -> Column:

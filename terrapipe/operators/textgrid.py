@@ -235,6 +235,20 @@ def confidence(fields: Column, had_header: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+def confidence_notes(fields: Column, had_header: Column) -> Column:
+    """Why the confidence is what it is, in the order in which it adds up."""
+    filled = F.array_compact(F.array(*[F.when(F.coalesce(fields[f], F.lit("")) != "", F.lit(f)) for f in OPTIONAL]))
+    return F.array_compact(
+        F.array(
+            F.when(had_header, "row mapped against a recognized table header").otherwise(
+                "no table header context available; fields may be mis-mapped"
+            ),
+            F.when(F.size(filled) > 0, F.concat(F.lit("populated optional fields: "), F.array_join(filled, ", "))),
+            F.when(F.length(trimmed(fields["condition"])) < 12, "condition text is unusually short"),
+        )
+    )
+
+
 def table_drafts(pages: DataFrame) -> DataFrame:
     """Drafts from the tables: fields, condition_code, phrase, confidence, source_text."""
     lines = regions(pages)
@@ -310,6 +324,7 @@ def _scored(drafts: DataFrame) -> DataFrame:
             "condition_code": normalized(F.col("fields.condition")),
             "phrase": deciding_phrase(F.col("fields.condition")),
             "confidence": confidence(F.col("fields"), F.col("had_header")),
+            "confidence_notes": confidence_notes(F.col("fields"), F.col("had_header")),
         }
     )
 

@@ -107,27 +107,52 @@ def scores(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, draws: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Interval of the Brier skill by resampling whole seasons.
+    """Interval of the Brier skill by resampling whole seasons."""
+    low_high = bootstraps(rows.withColumn("model", F.lit("")), draws, level, seed)
+    return low_high.select("draws", F.col("skill_low").alias("low"), F.col("skill_high").alias("high"))
 
-    Seasons are reduced to three sums each before they come to the driver, and the resamples are
-    drawn over those: the estimates are those of resampled rows.
+
+def bootstraps(rows: DataFrame, draws: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """For each model, the intervals of the Brier score and of the Brier skill, by resampling whole seasons.
+
+    Seasons are reduced to three sums each before they come to the driver (a row for each model and
+    season), and the resamples are drawn over those: the estimates are those of resampled rows.
+    Every model draws the same seasons. No row where there are no rows; a skill without a
+    reference is null.
     """
     sums = (
-        rows.groupBy(F.year("date").alias("season"))
+        rows.groupBy("model", F.year("date").alias("season"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("s"),
             F.sum(F.pow(F.col("ref") - F.col("y"), F.lit(2.0))).alias("r"),
         )
-        .orderBy("season")
+        .orderBy("model", "season")
         .collect()
     )
-    table = np.array([(x.n, x.s, x.r) for x in sums], float).reshape(-1, 3)
-    rng = np.random.default_rng(seed)
-    picks = rng.integers(0, max(len(table), 1), (draws, len(table)))
-    total = table[picks].sum(1) if len(table) else np.zeros((0, 3))
-    good = total[total[:, 2] > 0]
-    bss = 1 - good[:, 1] / good[:, 2]
-    low, high = np.quantile(bss, [(1 - level) / 2, (1 + level) / 2]) if len(bss) else (None, None)
-    row = [(draws, None if low is None else float(low), None if high is None else float(high))]
-    return rows.sparkSession.createDataFrame(row, "draws int, low double, high double")
+    tails = [(1 - level) / 2, (1 + level) / 2]
+
+    def interval(values: np.ndarray) -> list[float | None]:
+        return [float(x) for x in np.quantile(values, tails)] if len(values) else [None, None]
+
+    found = []
+    for model in dict.fromkeys(x.model for x in sums):
+        table = np.array([(x.n, x.s, x.r) for x in sums if x.model == model], float)
+        picks = np.random.default_rng(seed).integers(0, len(table), (draws, len(table)))
+        total = table[picks].sum(1)
+        good = total[total[:, 2] > 0]
+        found.append((model, draws, *interval(total[:, 1] / total[:, 0]), *interval(1 - good[:, 1] / good[:, 2])))
+    schema = "model string, draws int, brier_low double, brier_high double, skill_low double, skill_high double"
+    return rows.sparkSession.createDataFrame(found, schema)
+
+
+def skill_lines(scored: DataFrame, lead_days: int) -> DataFrame:
+    """A line of text for each model of ``scores``, with its place: the most skilful first."""
+    f = F.format_string
+    line = F.concat(
+        F.rpad("model", 28, " "), F.lit(f" L={lead_days:>2}d  BS="), f("%.4f", "brier"), F.lit("  BSS="), f("%+.3f", "bss"),
+        F.lit("  ECE="), f("%.4f", "ece"), F.lit("  AUC="), f("%.3f", "auc"), F.lit("  sharp="), f("%.4f", "sharpness"),
+        F.lit("  n="), F.col("n").cast("string"), F.lit("  base="), f("%.3f", "base_rate"),
+    )
+    place = F.row_number().over(W.orderBy(F.desc("bss"), "model"))  # a row per model
+    return scored.select(place.alias("place"), "model", line.alias("line"))

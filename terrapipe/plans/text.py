@@ -113,3 +113,36 @@ def extract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("draft_confidence")
 def draft_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.extracted(pages(spark)).select("document_id", "region_no", "group_no", "confidence"))
+
+
+def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for every part, in the layout of ``PAGE``, with the part's name for the millet; twelve characters, as columns count."""
+    name = F.rpad("p_name", 12, " ")
+    return read(spark, sf_dir, "part").select(
+        F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("document_id"),
+        F.lit(1).alias("page"),
+        F.replace(F.lit(PAGE), F.lit("Pearl millet"), name).alias("text"),
+    )
+
+
+@query("extract_part_rules")
+def extract_part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from the table of every part's page."""
+    found = grid.extracted(part_pages(spark, sf_dir))
+    return rounded(found.select("document_id", "group_no", "condition_code", F.col("fields.crop").alias("crop"), "path", "confidence"))
+
+
+@query(
+    "confidence_notes",
+    """SELECT p_partkey, array_to_string(list_filter([
+      CASE WHEN p_size % 3 = 0 THEN 'row mapped against a recognized table header' ELSE 'no table header context available; fields may be mis-mapped' END,
+      CASE WHEN p_size % 2 = 0 OR p_size % 5 = 0 THEN 'populated optional fields: ' || concat_ws(', ', CASE WHEN p_size % 2 = 0 THEN 'crop' END, CASE WHEN p_size % 5 = 0 THEN 'variety' END) END,
+      CASE WHEN length(trim(p_name)) < 12 THEN 'condition text is unusually short' END], lambda x: x IS NOT NULL), '; ') AS notes FROM part""",
+)
+def confidence_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on the confidence of a draft made of each part: its name as condition, brand and type as fields where its size says so."""
+    size = F.col("p_size")
+    own = {"condition": F.col("p_name"), "crop": F.when(size % 2 == 0, F.col("p_brand")), "variety": F.when(size % 5 == 0, F.col("p_type"))}
+    fields = F.struct(*[own.get(f, F.lit(None).cast("string")).alias(f) for f in grid.FIELDS])
+    drafts = read(spark, sf_dir, "part").select("p_partkey", fields.alias("fields"), (size % 3 == 0).alias("had_header"))
+    return drafts.select("p_partkey", F.array_join(grid.confidence_notes(F.col("fields"), F.col("had_header")), "; ").alias("notes"))

@@ -588,6 +588,21 @@ _verify(
 )
 
 
+_verify(
+    "skill_table",
+    """SELECT row_number() OVER (ORDER BY 1 - brier / brier_ref DESC, model)::INT AS place, model,
+    rpad(model, 28, ' ') || ' L=14d  BS=' || printf('%.4f', brier) || '  BSS=' || printf('%+.3f', 1 - brier / brier_ref) || '  ECE=' || printf('%.4f', ece)
+      || '  AUC=' || printf('%.3f', auc) || '  sharp=' || printf('%.4f', sharpness) || '  n=' || n || '  base=' || printf('%.3f', base_rate) AS line
+    FROM plain JOIN murphy USING (model) JOIN auc USING (model)""",
+    lambda d: verify.skill_lines(verify.scores(d, M), 14),
+)
+
+
+@query("verify_bootstraps")
+def verify_bootstraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(verify.bootstraps(scored_rows(spark, sf_dir)))
+
+
 @query("verify_bootstrap")
 def verify_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.bootstrap(scored_rows(spark, sf_dir).where("model = 'persistence'"))
