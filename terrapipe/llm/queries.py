@@ -70,7 +70,28 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents")).drop("cut")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import removed
+
+    return removed(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
+    "op13_substring_dedup": op13_substring_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op11_collocations": op11_collocations,
     "op7_chat_format": op7_chat_format,
     "op4_license_scan": op4_license_scan,
     "op10_language_id": op10_language_id,

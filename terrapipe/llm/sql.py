@@ -131,7 +131,99 @@ FROM (
   FROM base b LEFT JOIN sized s USING (id) LEFT JOIN class_far c USING (id) LEFT JOIN word_far w USING (id))
 """
 
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, range(1, 6) t(k))
+), counts AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang
+), frequent AS (
+  SELECT * FROM counts WHERE f >= 100
+), free AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM frequent c WHERE k > 1 AND NOT EXISTS (
+    FROM frequent x WHERE x.lang = c.lang AND x.k > c.k AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * x.f >= 100 * c.f)
+), cuts AS (
+  SELECT f.lang, f.phrase, a, x.f AS l, y.f AS r, n, cut, (1000 * a * n) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM free) f
+  JOIN frequent x ON x.lang = f.lang AND x.phrase = array_to_string(words[:cut], ' ')
+  JOIN frequent y ON y.lang = f.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')
+  JOIN totals t ON t.lang = f.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+_AUDIT = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), terms AS (
+  SELECT lang, term, count(DISTINCT id) AS docs, count(*)::HUGEINT AS n
+  FROM (SELECT id, lang, unnest(words) AS term FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT * FROM terms WHERE docs >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n
+  FROM (SELECT lang, source, unnest(words) AS term FROM docs) SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n, v, s.total AS lang_total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000 * (n + 2)) // (total + 2 * v))::HUGEINT AS p,
+    (1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v))::HUGEINT AS q
+  FROM dense
+), found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value
+  FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+_REPEATS = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS words FROM documents
+), windows AS (
+  SELECT id, doc_id, i, array_to_string(words[i:i + 49], ' ') AS body
+  FROM (SELECT id, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs)
+), judged AS (
+  SELECT id, doc_id, i, min(doc_id) OVER (PARTITION BY body) AS least FROM windows
+), gone AS (
+  SELECT id, list(DISTINCT i + k) AS places FROM judged, range(50) t(k) WHERE doc_id > least GROUP BY id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+    list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (id)
+"""
+
 ORACLE_SQL = {
+    "op11_collocations": _PHRASES,
+    "op12_source_divergence": _AUDIT,
+    "op13_substring_dedup": _REPEATS,
     "op9_quality_rules": _RULES,
     "op3_sharding": _SHARDS,
     "op6_near_duplicates": _NEAR,
