@@ -31,6 +31,14 @@ def labelled(panel: DataFrame, lead_days: int, min_days: int = MIN_SPELL_DAYS) -
     return starts.withColumn("y", strict(F.max, F.col("spell_start"), 1, lead_days))
 
 
+def labelled_lengths(panel: DataFrame, lead_days: int, lengths: tuple[int, ...]) -> DataFrame:
+    """y<n> for each length of spells, all over the panel's own windows: no joins."""
+    out = panel
+    for n in lengths:
+        out = labelled(spell_starts(out, n), lead_days).withColumnRenamed("y", f"y{n}").drop("spell_start")
+    return out
+
+
 def base_rate(labels: DataFrame) -> DataFrame:
     return labels.agg(F.avg("y").alias("base_rate"))
 

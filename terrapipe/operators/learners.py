@@ -1,22 +1,16 @@
-"""Fitted models of the ladder: extended logistic, monotone boosting, isotonic recalibration."""
+"""Isotonic recalibration, fold by fold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PROBABILITY_CLIP
 from ..functions.agro import clipped
-from .features import FEATURES, NAMES
 
 
 def each_fold(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -28,165 +22,7 @@ def each_fold(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame, DataF
     return reduce(DataFrame.unionByName, found)
 
 
-def extended_logistic(train: DataFrame, test: DataFrame, thresholds: tuple[int, ...] = (5,), at: int = 5) -> tuple[DataFrame, bool]:
-    """Logistic regression on scaled features and the root of the spell length, shared by thresholds.
-
-    ``train`` has a label column y<g> for each threshold g; ``test`` gets p for the threshold
-    ``at``. Also returns whether the fit is coherent: longer spells are not likelier. Scales are
-    population deviations, the penalty is that of one over the number of rows.
-    """
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in NAMES], *[F.stddev_pop(c).alias(f"s_{c}") for c in NAMES]).first()
-
-    def scaled(df: DataFrame) -> DataFrame:
-        return df.withColumns({f"z_{c}": (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in NAMES})
-
-    columns = [*[f"z_{c}" for c in NAMES], "root"]
-    pairs = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("g"), F.col(f"y{g}").alias("label")) for g in thresholds]))
-    design = scaled(train).withColumn("pair", pairs).select("*", "pair.label", F.sqrt("pair.g").alias("root")).where("label IS NOT NULL")
-    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-    rows = assembler.transform(design).select("features", "label").cache()
-    n = max(rows.count(), 1)
-    model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
-    rows.unpersist()
-    ready = assembler.transform(scaled(test).withColumn("root", F.lit(float(at) ** 0.5)))
-    out = model.transform(ready).withColumn("p", clipped(vector_to_array("probability")[1], PROBABILITY_CLIP))
-    keep = [c for c in test.columns if c != "p"]
-    return out.select(*keep, "p"), bool(model.coefficients[len(columns) - 1] <= 0)
-
-
 def isotonic(train: DataFrame, test: DataFrame) -> DataFrame:
     """``p`` of test rows recalibrated by an isotonic fit of y on p in training rows."""
     model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="iso").fit(train.where("y IS NOT NULL AND p IS NOT NULL"))
     return model.transform(test).withColumn("p", clipped(F.col("iso"), PROBABILITY_CLIP)).drop("iso")
-
-
-def monotone_boost(
-    train: DataFrame, test: DataFrame, rounds: int = 200, depth: int = 3, rate: float = 0.05, max_rows: int = 100_000
-) -> DataFrame:
-    """Boosted trees whose response keeps the declared sign in each feature, one model a fold.
-
-    About 0.15 of the rows, drawn by a hash, stop the fit: 20 rounds that do not lower their loss end it.
-
-    A fold is fitted on a sample of at most about ``max_rows`` rows, drawn by a hash, in one task;
-    test rows are scored in any number of tasks. Both need ``fold``, the features and, to train, y.
-    """
-    sizes = train.groupBy("fold").count()
-    share = F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("count"))
-    drawn = (
-        train.dropna(subset=[*NAMES, "y"])
-        .join(F.broadcast(sizes), "fold")  # one row a fold
-        .where(F.pmod(F.xxhash64("block_id", "date"), F.lit(1 << 20)) < share * (1 << 20))
-        .select("fold", *NAMES, "y", (F.pmod(F.xxhash64(F.lit(_STOP_SEED), "block_id", "date"), F.lit(100)) < 15).alias("stops"))
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
-        trees = _boost(pdf[list(NAMES)].to_numpy(float), pdf["y"].to_numpy(float), rounds, depth, rate, stops=pdf["stops"].to_numpy(bool))
-        return pd.DataFrame({"fold": [int(pdf["fold"].iloc[0])], "model": [pickle.dumps(trees)]})
-
-    models = {r.fold: bytes(r.model) for r in drawn.groupBy("fold").applyInPandas(fit, "fold int, model binary").collect()}
-    keep = [f for f in test.schema.fields if f.name != "p"]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
-
-        loaded = {k: pickle.loads(v) for k, v in models.items()}  # noqa: S301  made above
-        for pdf in batches:
-            p = np.full(len(pdf), np.nan)
-            for fold, trees in loaded.items():
-                rows = (pdf["fold"] == fold).to_numpy() & pdf[list(NAMES)].notna().all(axis=1).to_numpy()
-                p[rows] = 1 / (1 + np.exp(-_predict(trees, pdf.loc[rows, list(NAMES)].to_numpy(float))))
-            yield pdf.assign(p=p)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    out = test.select(*[f.name for f in keep]).mapInPandas(score, f"{schema}, p double")
-    return out.withColumn("p", clipped(F.when(~F.isnan("p"), F.col("p")), PROBABILITY_CLIP))
-
-
-_STOP_SEED = 7
-_SIGNS = np.array([f.monotone for f in FEATURES])
-
-
-def _boost(
-    x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, bins: int = 32, stops: np.ndarray | None = None, patience: int = 20
-) -> dict:
-    """``stops`` marks rows that are not learned from: the fit ends when ``patience`` rounds do not lower their loss."""
-    held = None
-    if stops is not None and stops.any() and not stops.all():
-        held, x, y = (x[stops], y[stops]), x[~stops], y[~stops]
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-    codes = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], 1)
-    base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    start = float(np.log(base / (1 - base)))
-    f = np.full(len(y), start)
-    trees = []
-    if held is not None:
-        held_codes = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, held[0].T, strict=True)], 1)
-        held_f = np.full(len(held_codes), start)
-        least, since = float(np.mean(np.logaddexp(0, held_f) - held[1] * held_f)), 0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-f))
-        tree = _grow(codes, y - p, p * (1 - p), np.arange(len(y)), depth, -np.inf, np.inf, rate, bins)
-        f += _walk(tree, codes)
-        trees.append(tree)
-        if held is not None:
-            held_f += _walk(tree, held_codes)
-            loss = float(np.mean(np.logaddexp(0, held_f) - held[1] * held_f))
-            least, since = (loss, 0) if loss < least - 1e-7 else (least, since + 1)
-            if since >= patience:
-                break
-    return {"edges": edges, "start": start, "trees": trees}
-
-
-def _grow(codes, g, h, rows, depth, low, high, rate, bins):  # noqa: ANN001, ANN202
-    """A node: (feature, cut, left, right), or a leaf's value within the bounds that its parents set."""
-
-    def value(gs: np.ndarray, hs: np.ndarray) -> np.ndarray:
-        return np.clip(gs / (hs + 1.0), low, high)
-
-    gt, ht = g[rows].sum(), h[rows].sum()
-    leaf = float(value(gt, ht)) * rate
-    if depth == 0 or len(rows) < 40:
-        return leaf
-    best = (1e-6, None)
-    for j in range(codes.shape[1]):
-        c = codes[rows, j]
-        gl = np.cumsum(np.bincount(c, g[rows], bins + 1))[:-1]
-        hl = np.cumsum(np.bincount(c, h[rows], bins + 1))[:-1]
-        nl = np.cumsum(np.bincount(c, minlength=bins + 1))[:-1]
-        vl, vr = value(gl, hl), value(gt - gl, ht - hl)
-        gain = gl * vl + (gt - gl) * vr - 0.5 * (vl**2 * (hl + 1) + vr**2 * (ht - hl + 1))
-        gain -= gt * leaf / rate - 0.5 * (leaf / rate) ** 2 * (ht + 1)
-        ok = (nl >= 20) & (len(rows) - nl >= 20) & (_SIGNS[j] * (vr - vl) >= 0)
-        gain = np.where(ok, gain, -np.inf)
-        k = int(gain.argmax())
-        if gain[k] > best[0]:
-            best = (gain[k], (j, k, float(vl[k]), float(vr[k])))
-    if best[1] is None:
-        return leaf
-    j, k, vl, vr = best[1]
-    middle = (vl + vr) / 2
-    left_high, right_low = (middle, middle) if _SIGNS[j] > 0 else (high, low)
-    left_low, right_high = (middle, middle) if _SIGNS[j] < 0 else (low, high)
-    go = codes[rows, j] <= k
-    return (
-        j,
-        k,
-        _grow(codes, g, h, rows[go], depth - 1, max(low, left_low), min(high, left_high), rate, bins),
-        _grow(codes, g, h, rows[~go], depth - 1, max(low, right_low), min(high, right_high), rate, bins),
-    )
-
-
-def _walk(tree, codes: np.ndarray) -> np.ndarray:  # noqa: ANN001
-    if not isinstance(tree, tuple):
-        return np.full(len(codes), tree)
-    go = codes[:, tree[0]] <= tree[1]
-    out = np.empty(len(codes))
-    out[go], out[~go] = _walk(tree[2], codes[go]), _walk(tree[3], codes[~go])
-    return out
-
-
-def _predict(model: dict, x: np.ndarray) -> np.ndarray:
-    codes = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(model["edges"], x.T, strict=True)], 1)
-    return model["start"] + sum(_walk(t, codes) for t in model["trees"])

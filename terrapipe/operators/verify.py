@@ -35,7 +35,10 @@ def reliability_bins(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def murphy(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Reliability, resolution and uncertainty of the binned probabilities; and the calibration error."""
-    bins = reliability_bins(rows, by)
+    return _murphy(reliability_bins(rows, by), by)
+
+
+def _murphy(bins: DataFrame, by: tuple[str, ...]) -> DataFrame:
     n, base = F.sum("n"), F.sum(F.col("n") * F.col("mean_y")) / F.sum("n")
     totals = bins.groupBy(*by).agg(n.alias("total"), base.alias("base"))
     joined = bins.join(totals, list(by)) if by else bins.crossJoin(totals)  # one row of totals
@@ -54,7 +57,10 @@ def auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     The distinct p are ranked inside ``SLICES`` slices of [0, 1], and the totals of the slices
     before are added, so no task orders all of them; only the totals, a row per slice, meet.
     """
-    counts = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
+    return _auc(rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")), by)
+
+
+def _auc(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     at = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * SLICES).cast("int")
     counts = counts.withColumn("slice_", F.coalesce(at, F.lit(-1)))  # a missing p ranks first
     upto = (W.unboundedPreceding, -1)
@@ -91,59 +97,74 @@ def value_curve(rows: DataFrame, points: int = 19, by: tuple[str, ...] = ()) ->
     )
 
 
-def scores(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row: counts, Brier score and skill, sharpness, Murphy terms, calibration error and AUC."""
-    plain = rows.groupBy(*by).agg(
+def counted(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, ones and sums of squared errors for each distinct p: all that ``scores`` reads."""
+    return rows.groupBy(*by, "p").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("y").alias("base_rate"),
-        brier().alias("brier"),
-        brier("ref").alias("brier_ref"),
-        F.var_pop("p").alias("sharpness"),
+        F.sum("y").alias("ones"),
+        F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("error"),
+        F.sum(F.pow(F.col("ref") - F.col("y"), F.lit(2.0))).alias("ref_error"),
     )
-    parts = [murphy(rows, by), auc(rows, by)]
-    for part in parts:
+
+
+def scores(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: counts, Brier score and skill, sharpness, Murphy terms, calibration error and AUC.
+
+    All of them derive from one table of counts by distinct p, which is shuffled once.
+    """
+    counts = counted(rows, by)
+    n = F.sum("n")
+    plain = counts.groupBy(*by).agg(
+        n.alias("n"),
+        (F.sum("ones") / n).alias("base_rate"),
+        (F.sum("error") / n).alias("brier"),
+        (F.sum("ref_error") / n).alias("brier_ref"),
+        (F.sum(F.col("n") * F.col("p") * F.col("p")) / n - F.pow(F.sum(F.col("n") * F.col("p")) / n, F.lit(2.0))).alias("sharpness"),
+    )
+    bins = with_bin(counts).groupBy(*by, "bin").agg(
+        n.alias("n"), (F.sum(F.col("n") * F.col("p")) / n).alias("mean_p"), (F.sum("ones") / n).alias("mean_y")
+    )
+    for part in (_murphy(bins, by), _auc(counts, by)):
         plain = plain.join(part, list(by)) if by else plain.crossJoin(part)  # single rows
     return plain.withColumn("bss", skill(F.col("brier"), F.col("brier_ref")))
 
 
-def bootstrap(rows: DataFrame, draws: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap(rows: DataFrame, draws: int = 500, level: float = 0.95) -> DataFrame:
     """Interval of the Brier skill by resampling whole seasons."""
-    low_high = bootstraps(rows.withColumn("model", F.lit("")), draws, level, seed)
+    low_high = bootstraps(rows.withColumn("model", F.lit("")), draws, level)
     return low_high.select("draws", F.col("skill_low").alias("low"), F.col("skill_high").alias("high"))
 
 
-def bootstraps(rows: DataFrame, draws: int = 500, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstraps(rows: DataFrame, draws: int = 500, level: float = 0.95) -> DataFrame:
     """For each model, the intervals of the Brier score and of the Brier skill, by resampling whole seasons.
 
-    Seasons are reduced to three sums each before they come to the driver (a row for each model and
-    season), and the resamples are drawn over those: the estimates are those of resampled rows.
-    Every model draws the same seasons. No row where there are no rows; a skill without a
-    reference is null.
+    Seasons are reduced to three sums each, and resamples are drawn over those: the estimates are
+    those of resampled rows. The season at a place of a resample follows from a digest of (resample,
+    place), so reruns agree, every model of the same number of seasons draws the same, and the draws come
+    by a join: rows of ``draws`` times seasons for each model. Quantiles are interpolated linearly.
+    No row where there are no rows; a skill without a reference is null.
     """
-    sums = (
-        rows.groupBy("model", F.year("date").alias("season"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("s"),
-            F.sum(F.pow(F.col("ref") - F.col("y"), F.lit(2.0))).alias("r"),
-        )
-        .orderBy("model", "season")
-        .collect()
+    sums = rows.groupBy("model", F.year("date").alias("season")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("s"),
+        F.sum(F.pow(F.col("ref") - F.col("y"), F.lit(2.0))).alias("r"),
     )
-    tails = [(1 - level) / 2, (1 + level) / 2]
-
-    def interval(values: np.ndarray) -> list[float | None]:
-        return [float(x) for x in np.quantile(values, tails)] if len(values) else [None, None]
-
-    found = []
-    for model in dict.fromkeys(x.model for x in sums):
-        table = np.array([(x.n, x.s, x.r) for x in sums if x.model == model], float)
-        picks = np.random.default_rng(seed).integers(0, len(table), (draws, len(table)))
-        total = table[picks].sum(1)
-        good = total[total[:, 2] > 0]
-        found.append((model, draws, *interval(total[:, 1] / total[:, 0]), *interval(1 - good[:, 1] / good[:, 2])))
-    schema = "model string, draws int, brier_low double, brier_high double, skill_low double, skill_high double"
-    return rows.sparkSession.createDataFrame(found, schema)
+    of_model = W.partitionBy("model")
+    numbered = sums.withColumn("place", F.row_number().over(of_model.orderBy("season")) - 1).withColumn("seasons", F.count(F.lit(1)).over(of_model))
+    digest = F.md5(F.concat_ws(":", "draw", "place").cast("binary"))
+    drawn = (
+        numbered.select("model", "place", "seasons", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+        .select("model", "draw", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("seasons")).cast("int").alias("place"))
+        .join(numbered.select("model", "place", "n", "s", "r"), ["model", "place"])
+        .groupBy("model", "draw")
+        .agg(*[F.sum(c).alias(c) for c in "nsr"])
+    )
+    tails = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    found = drawn.groupBy("model").agg(
+        F.percentile(F.col("s") / F.col("n"), tails).alias("brier"), F.percentile(skill(F.col("s"), F.col("r")), tails).alias("skill")
+    )
+    ends = [(f"{c}_{end}", F.get(c, k)) for c in ("brier", "skill") for k, end in enumerate(("low", "high"))]
+    return found.select("model", F.lit(draws).alias("draws"), *[e.alias(name) for name, e in ends])
 
 
 def skill_lines(scored: DataFrame, lead_days: int) -> DataFrame:
@@ -156,3 +177,18 @@ def skill_lines(scored: DataFrame, lead_days: int) -> DataFrame:
     )
     place = F.row_number().over(W.orderBy(F.desc("bss"), "model"))  # a row per model
     return scored.select(place.alias("place"), "model", line.alias("line"))
+
+
+def report(rows: DataFrame, lead_days: int, points: tuple[float, ...] = (0.2, 0.35, 0.5, 0.65, 0.8)) -> DataFrame:
+    """(place, model, line): ``skill_lines`` with the 95 % interval of the skill, and the economic value of the best model last."""
+    found = scores(rows, ("model",)).join(bootstraps(rows, 300).select("model", "skill_low", "skill_high"), "model")
+    ends = F.concat(F.lit("  ["), F.format_string("%+.3f", "skill_low"), F.lit(","), F.format_string("%+.3f", "skill_high"), F.lit("]"))
+    lines = skill_lines(found, lead_days).join(found.select("model", ends.alias("ends")), "model")
+    best = found.agg(F.max_by("model", F.coalesce("bss", F.lit(float("-inf")))).alias("model"))  # one row
+    act = F.explode(F.array(*[F.lit(a) for a in points])).alias("alpha")
+    values = rows.join(F.broadcast(best), "model").select("model", "p", "y", act).groupBy("model", "alpha").agg(_value(F.col("alpha")).alias("value"))
+    cell = F.concat(F.lit("("), F.format_string("%.2f", "alpha"), F.lit(", "), F.format_string("%+.2f", "value"), F.lit(")"))
+    curve = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alpha", cell.alias("cell")))), lambda x: x["cell"]), " ")
+    last = values.groupBy("model").agg(F.concat(F.lit("value of the best: "), curve).alias("line"))
+    body = lines.select("place", "model", F.concat("line", "ends").alias("line"))
+    return body.unionByName(last.select(F.lit(None).cast("int").alias("place"), "model", "line"))

@@ -455,12 +455,13 @@ p_pers AS (
 cte("p_ens", ("base",), f"p_ens AS (SELECT block_id, date, y, {_clip_sql('ens_dry_fraction')} AS p FROM tests)")
 
 
-def base_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows of the SQL baselines, by fold; lead 14 days."""
+def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the SQL baselines, those of all folds; lead 14 days. Builds a plan and runs nothing."""
     from ..functions.agro import season_phase
     from ..functions.windows import by_block
 
-    runs = soil.with_dry_runs(season_panel(spark, sf_dir))
+    found, first_last = observed(spark, sf_dir)
+    runs = soil.with_dry_runs(panel.canonical(found, JJAS, bounds=first_last))
     phase = season_phase(F.col("date"), JJAS)
     rows = lab.labelled(runs, 14).withColumns(
         {
@@ -469,23 +470,27 @@ def base_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             "day_of_season_cos": F.cos(phase),
         }
     )
-    rows = rows.join(F.broadcast(regions(spark, sf_dir)), "block_id", "left").withColumn(
-        "region", F.coalesce("region", F.concat(F.lit("b"), F.col("block_id").cast("string")))
-    )
-    keep = ("block_id", "date", "y", "region", "dry_run_lag1", "day_of_season_sin", "day_of_season_cos", "ens_dry_fraction")
-    # Every model reads these narrow rows, so they are kept; lost parts are made again from the source.
-    rows = rows.dropna(subset=["y", "dry_run_lag1", "ens_dry_fraction"]).select(*keep).cache()
-    return models.in_folds(rows, models.season_folds(runs.select("date")))
+    keep = ("block_id", "date", "y", "dry_run_lag1", "day_of_season_sin", "day_of_season_cos", "ens_dry_fraction")
+    rows = rows.dropna(subset=["y", "dry_run_lag1", "ens_dry_fraction"]).select(*keep)
+    # A panel holds every day between its bounds, so its seasons are those of the bounds.
+    days = first_last.select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("date"))
+    return models.in_folds(rows, models.fold_seasons(days.where(in_season(F.col("date"), JJAS, spin_up=True))))
+
+
+def with_regions(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` with their region; a block without one is a region of its own."""
+    own = F.concat(F.lit("b"), F.col("block_id").cast("string"))
+    return rows.join(regions(spark, sf_dir), "block_id", "left").withColumn("region", F.coalesce("region", own))
 
 
 def _predictions(kind: str):  # noqa: ANN202
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        train, test = base_rows(spark, sf_dir)
+        rows = base_rows(spark, sf_dir)
         found = {
-            "model_climatology": lambda: models.climatology(train, test),
-            "model_climatology_regional": lambda: models.climatology(train, test, regional=True),
-            "model_persistence": lambda: models.persistence(train, test),
-            "model_raw_ensemble": lambda: models.raw_ensemble(test),
+            "model_climatology": lambda: models.climatology(rows),
+            "model_climatology_regional": lambda: models.climatology(with_regions(rows, spark, sf_dir), regional=True),
+            "model_persistence": lambda: models.persistence(rows),
+            "model_raw_ensemble": lambda: models.raw_ensemble(rows),
         }[kind]()
         return found.select("block_id", "date", "y", "p")
 
@@ -509,7 +514,7 @@ cte(
     ("p_clim", "p_pers", "p_ens"),
     """
 scored AS MATERIALIZED (
-  SELECT m.model, m.y, m.p, c.p AS ref FROM (
+  SELECT m.model, year(m.date) AS season, m.y, m.p, c.p AS ref FROM (
     SELECT 'climatology' AS model, * FROM p_clim UNION ALL SELECT 'persistence', * FROM p_pers UNION ALL SELECT 'raw_ensemble', * FROM p_ens) m
   JOIN p_clim c ON c.block_id = m.block_id AND c.date = m.date),
 edges AS (SELECT [0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.30000000000000004::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6000000000000001::DOUBLE, 0.7000000000000001::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE] AS e),
@@ -533,7 +538,7 @@ plain AS (
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, block_id, date, y, p and the climatology as ref."""
-    return models.ladder(*base_rows(spark, sf_dir)).cache()
+    return models.ladder(base_rows(spark, sf_dir))
 
 
 def _verify(name: str, oracle: str, make) -> None:  # noqa: ANN001
@@ -598,11 +603,32 @@ _verify(
 )
 
 
-@query("verify_bootstraps")
+_SUMS = """
+sums AS (
+  SELECT model, row_number() OVER (PARTITION BY model ORDER BY season) - 1 AS place, count(*) OVER (PARTITION BY model) AS seasons, n, s, r
+  FROM (SELECT model, season, count(*) AS n, sum((p - y) ^ 2) AS s, sum((ref - y) ^ 2) AS r FROM scored GROUP BY 1, 2)),
+drawn AS (
+  SELECT a.model, a.draw, sum(n) AS n, sum(s) AS s, sum(r) AS r
+  FROM (SELECT model, draw, ('0x' || md5(draw || ':' || place)[:12])::BIGINT % seasons AS place FROM sums, range(1, 501) t(draw)) a
+  JOIN sums b ON b.model = a.model AND b.place = a.place GROUP BY 1, 2)"""
+cte("draws", ("scored",), _SUMS)
+
+
+def _ends(e: str, name: str) -> str:
+    return f"{r(f'quantile_cont({e}, 0.025::DOUBLE)', f'{name}low')}, {r(f'quantile_cont({e}, 0.975::DOUBLE)', f'{name}high')}"
+
+
+_SKILL = "CASE WHEN r > 0 THEN 1 - s / r END"
+
+
+@query(
+    "verify_bootstraps",
+    sql(f"SELECT model, 500 AS draws, {_ends('s / n', 'brier_')}, {_ends(_SKILL, 'skill_')} FROM drawn GROUP BY model", "draws"),
+)
 def verify_bootstraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(verify.bootstraps(scored_rows(spark, sf_dir)))
 
 
-@query("verify_bootstrap")
+@query("verify_bootstrap", sql(f"SELECT 500 AS draws, {_ends(_SKILL, '')} FROM drawn WHERE model = 'persistence'", "draws"))
 def verify_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.bootstrap(scored_rows(spark, sf_dir).where("model = 'persistence'"))
+    return rounded(verify.bootstrap(scored_rows(spark, sf_dir).where("model = 'persistence'")))

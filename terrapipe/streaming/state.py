@@ -6,16 +6,16 @@ batches are expected in order of date, as a source of daily files gives them.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import AWC_MM, HYSTERESIS_CYCLES, INITIAL_FILL, RAINY_DAY_MM
+from ..storage import folder
 
 
 def _by_date(frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
@@ -100,19 +100,6 @@ def audit(events: DataFrame, events_path: str, advisories_path: str, checkpoint:
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh place below the shared folder of the cluster; below a folder of our own where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def replayed(rows: DataFrame, make, parts: int = 3) -> DataFrame:  # noqa: ANN001
     """Run ``make`` over ``rows`` streamed in ``parts`` stretches in order of date, and read what it made.
 
@@ -120,7 +107,7 @@ def replayed(rows: DataFrame, make, parts: int = 3) -> DataFrame:  # noqa: ANN00
     checkpoint takes them all, so the batches are in order of date and none is one task's work.
     """
     spark = rows.sparkSession
-    base = folder(spark)
+    base = folder(spark, "stream")
     w = F.broadcast(rows.agg(F.min("date").alias("first_"), F.max("date").alias("last_")))  # one row
     days = F.datediff("last_", "first_") + 1
     stretch = F.floor(F.datediff("date", "first_") * parts / days).cast("int")
