@@ -113,6 +113,35 @@ def _grams(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray | None, h
     yield from flush()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], bits: np.ndarray, how: Phrases) -> Iterator[pa.RecordBatch]:
+    """(lang, text): the runs of three words and more whose pairs of adjacent words all pass the sieve of level 2.
+
+    Every longer phrase with frequent subgrams lies in such a run wherever it occurs, so the levels from
+    3 on find the same counts in these texts as in the whole ones. A line feed ends each run.
+    """
+    tokens = Tokens(b"\n", b"")
+    for batch in batches:
+        out: tuple[list[bytes], list[bytes]] = [], []
+        for lang, text in zip(raw(batch.column("lang")), raw(batch.column("text")), strict=True):
+            ids = tokens.ids(pieces(text))
+            ids = ids[ids != _NOTHING]
+            word = ids != _END
+            pair = word[:-1] & word[1:]
+            pair[pair] = passes(bits, gram_hashes(tokens.hashes()[ids], 2, lang)[pair])
+            chained = pair[:-1] & pair[1:]  # three words from here on
+            keep = np.zeros(len(ids), bool)
+            for j in range(3):
+                keep[j : len(ids) - 2 + j] |= chained
+            if keep.any():
+                at = np.flatnonzero(keep)
+                own = np.insert(ids[at], np.flatnonzero(~pair[at[:-1]] | (np.diff(at) > 1)) + 1, _END)
+                out[0].append(lang)
+                out[1].append(b" ".join([tokens.names[i] for i in own.tolist()]))
+            if len(tokens.names) > how.vocabulary:
+                tokens = Tokens(b"\n", b"")
+        yield pa.RecordBatch.from_arrays([strings(out[0]), strings(out[1])], names=["lang", "text"])
+
+
 def _table(lang: list[bytes], phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([strings(lang), phrase, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
 
@@ -147,6 +176,9 @@ def levels(docs: DataFrame, how: Phrases) -> tuple[list[DataFrame], DataFrame]:
             if keys.isEmpty():
                 break
             bits = sieve(keys, how.sieve_bytes)
+        if k == 2 < how.longest - 1:
+            sent = spark.sparkContext.broadcast(bits)
+            texts = written(texts.mapInArrow(lambda it, sent=sent: _runs(it, sent.value, how), "lang string, text string"), "phrase-runs")
     return found, totals
 
 
@@ -160,7 +192,8 @@ def phrases(docs: DataFrame, how: Phrases | None = None) -> DataFrame:
     1. Level k counts the runs of k words inside pieces. Hashes of the frequent (k - 1)-grams go to the
        tasks as a sieve of at most ``sieve_bytes``; a run is emitted only when both its overlapping
        subgrams pass. What passes by chance is emitted too and falls to the exact count, so the
-       sieve loses nothing and adds nothing. Tasks count by token ids before the shuffle.
+       sieve loses nothing and adds nothing. Tasks count by token ids before the shuffle. From level 3
+       on, texts are trimmed to the runs in which all pairs of words are frequent: nothing else can count.
     2. Every cut of a frequent phrase is scored from the level tables: floor(1000 a n / (l r)); the
        lowest counts, of equal ones the first.
     3. A phrase inside a longer frequent one that occurs as often is dropped. Such a longer one
