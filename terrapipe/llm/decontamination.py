@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import small_batches, utf8_bytes
 
 _TOKEN = re.compile(r"\w+")
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
+_BASE = 0xD1342543DE82EF95  # odd
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,66 +33,79 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def _windows(seq: list[int], length: int, free: list[bool]) -> Iterator[tuple[int, int]]:
-    """(start, rolling hash) of each window of ``length`` unmarked tokens."""
-    top = pow(_BASE, length, _MOD)
-    h = run = 0
-    for i, x in enumerate(seq):
-        if x < 0 or not free[i]:
-            h = run = 0
-            continue
-        h = (h * _BASE + x + 1) % _MOD
-        run += 1
-        if run > length:
-            h = (h - (seq[i - length] + 1) * top) % _MOD
-        if run >= length:
-            yield i - length + 1, h
+class _Rolling:
+    """Karp-Rabin hashes of the runs of unmarked tokens of a sequence, of any length at once."""
+
+    def __init__(self, seq: list[int], powers: tuple[np.ndarray, np.ndarray]) -> None:
+        self.seq = np.array(seq, np.int64)
+        self.free = self.seq >= 0
+        self.down, self.up = powers
+        with np.errstate(over="ignore"):
+            x = (self.seq.astype(np.uint64) + np.uint64(1)) * _MIX
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            self.sums = np.r_[np.uint64(0), np.cumsum((x ^ (x >> np.uint64(32))) * self.down[: len(x)])]
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the runs of ``length`` unmarked tokens."""
+        n = len(self.seq) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        closed = np.r_[0, np.cumsum(~self.free)]
+        at = np.flatnonzero(closed[length:] == closed[:n])
+        with np.errstate(over="ignore"):
+            return at, (self.sums[at + length] - self.sums[at]) * self.up[at]
+
+    def mark(self, at: int, length: int) -> None:
+        self.free[at : at + length] = False
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        ones = np.ones(1, np.uint64)
+        down = np.cumprod(np.r_[ones, np.full(max(0, n - 1), np.uint64(pow(_BASE, -1, 1 << 64)))])
+        return down, np.cumprod(np.r_[ones, np.full(max(0, n - 1), np.uint64(_BASE))])
 
 
 def greedy_tiles(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (item position, doc position, length): the longest unmarked matches first.
 
     Negative tokens match nothing. Of equal lengths, the first in the item, then in the document,
-    is marked first, so the result is determined.
+    is marked first, so the result is determined. The longest length is found by halving: both
+    sequences are hashed by running Karp-Rabin at each length tried, and a match of a length holds
+    matches of all shorter ones. So a tile costs a few passes over both sequences, whatever they repeat.
     """
-    free_item, free_doc = [True] * len(item), [True] * len(doc)
+    powers = _powers(max(len(item), len(doc), 1))
+    a, b = _Rolling(item, powers), _Rolling(doc, powers)
     tiles: list[tuple[int, int, int]] = []
-    length = max(min_match, len(item) // 2)
-    while True:
-        at = defaultdict(list)
-        for i, h in _windows(item, length, free_item):
-            at[h].append(i)
-        matches: list[tuple[int, int, int]] = []
-        for d, h in _windows(doc, length, free_doc):
-            for i in at.get(h, ()):
-                n = 0
-                while (
-                    i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] >= 0
-                    and free_item[i + n] and free_doc[d + n]
-                ):
-                    n += 1
-                if n >= length:
-                    matches.append((-n, i, d))
-        longest = -min(matches)[0] if matches else 0
-        if longest >= 2 * length:
-            length = longest
-            continue
-        for n, i, d in sorted(matches):
-            if all(free_item[i : i - n]) and all(free_doc[d : d - n]):
-                free_item[i : i - n] = [False] * -n
-                free_doc[d : d - n] = [False] * -n
-                tiles.append((i, d, -n))
-        if length == min_match:
-            # What a mark has shortened may still hold a match of this length.
-            if not any(m[0] for m in matches) or not _left(item, doc, free_item, free_doc, length):
-                return tiles
-        elif longest < length or not _left(item, doc, free_item, free_doc, length):
-            length = max(min_match, length // 2)
 
-
-def _left(item: list[int], doc: list[int], free_item: list[bool], free_doc: list[bool], length: int) -> bool:
-    own = {h for _, h in _windows(item, length, free_item)}
-    return any(h in own for _, h in _windows(doc, length, free_doc))
+    def first(length: int) -> tuple[int, int] | None:
+        at, own = a.of(length)
+        places, others = b.of(length)
+        order = np.argsort(others, kind="stable")
+        spot = np.searchsorted(others, own, sorter=order)
+        hit = np.flatnonzero(spot < len(others))
+        hit = hit[others[order[spot[hit]]] == own[hit]]
+        for k in hit.tolist():  # the first, unless two hashes agree by chance
+            i, d = int(at[k]), int(places[order[spot[k]]])
+            if (a.seq[i : i + length] == b.seq[d : d + length]).all():
+                return i, d
+        return None
+
+    longest = min(len(item), len(doc))
+    while longest >= min_match:
+        if (found := first(longest)) is None:
+            low, high = min_match - 1, longest  # a match of ``low`` is there, or not worth a tile; none of ``high``
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if first(middle) else (low, middle)
+            longest = low
+            continue
+        i, d = found
+        a.mark(i, longest)
+        b.mark(d, longest)
+        tiles.append((i, d, longest))
+    return tiles
 
 
 def _seed_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -125,19 +138,22 @@ def _matcher(items: list[tuple[int, str]], how: Tiling) -> Callable[[str | None]
 
     def match(text: str | None) -> list[tuple]:
         ids = np.array([get(w, 0) for w in tokens(text)], np.uint64)
-        found: dict[int, list[int]] = defaultdict(list)
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
         for k, own in sorted_seeds.items():
             h = _seed_hashes(ids, k)
             if not len(h):
                 continue
             place = np.minimum(np.searchsorted(own, h), len(own) - 1)
-            for p in np.flatnonzero(own[place] == h):
-                for n in seeds[k][int(h[p])]:
-                    found[n].append(int(p))
+            at = np.flatnonzero(own[place] == h)
+            at = at[np.argsort(h[at], kind="stable")]
+            for places in np.split(at, np.flatnonzero(np.diff(h[at])) + 1) if len(at) else ():
+                for n in seeds[k][int(h[places[0]])]:
+                    found[n].append(places)
         out = []
-        for n, at in sorted(found.items()):
+        for n, of_seeds in sorted(found.items()):
             item_id, item = known[n]
             k = min(how.min_match, len(item))
+            at = np.sort(np.concatenate(of_seeds)).tolist()
             if k * len(at) < how.coverage * len(item):  # too few even where no two overlap
                 continue
             # Only stretches that hold a seed can match: the rest is cut out of the document.
@@ -180,7 +196,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling | None = Non
     doc_id, item_id, coverage, matched, item_tokens, tiles (token positions).
 
     Every document meets each block of the benchmark in its own task, so nothing is shuffled and
-    no common passage makes a hot key. Defined cases: null, empty and token-free texts match
+    no common passage makes a hot key. A tile costs a few passes over both texts, so very long and
+    repetitive ones end as well. Defined cases: null, empty and token-free texts match
     nothing; items of fewer tokens than ``min_match`` match as a whole; repeated rows are returned
     as often as they stand; other columns are ignored; an empty table gives no rows.
     """

@@ -25,7 +25,7 @@ class CrossParse:
 
     max_chars: int = 40_000  # of text in an automaton
     max_rows: int = 400  # labelled documents drawn for a language
-    all_chars: int = 2_000_000  # of text in all automata: beyond 50 languages each gets its share of it
+    all_chars: int = 400_000  # of text in all automata: beyond 10 languages each gets its share; bounds the tables to 2 * all_chars * (alphabet + 2) * 4 bytes
     alphabet: int = 254  # letters of an automaton, the most frequent; others are one symbol
     piece: int = 1_024
     seed: int = 3
@@ -207,8 +207,8 @@ def train(docs: DataFrame, how: CrossParse) -> list[tuple[str, int, int, np.ndar
     """(language, training symbols, states, alphabet, edges) of each language.
 
     For each language about ``max_rows`` documents are drawn by a hash of id and text; repeated
-    rows count once. One task for each language takes whole texts in hash order up to ``max_chars``
-    and builds the automaton. The driver gets one automaton for each language, ``all_chars`` in all.
+    rows count once. One task for each language takes texts in hash order, the last one in part, up to
+    ``max_chars`` symbols and builds the automaton. The driver gets one automaton for each language, ``all_chars`` in all.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().collect()  # one row for each language
@@ -230,9 +230,14 @@ def train(docs: DataFrame, how: CrossParse) -> list[tuple[str, int, int, np.ndar
     def build(pdf):  # noqa: ANN001, ANN202
         pdf = pdf.sort_values(["order", "text"])
         taken, size = [], 0
-        for x in dict.fromkeys(pdf["text"]):
-            own = letters(x)
-            if own.any() and (size + len(own) < most or not taken):
+        for order, x in dict(zip(pdf["order"], pdf["text"], strict=True)).items():
+            own, left = letters(x), most - size - 1
+            if left <= 0:
+                break
+            if own.any():
+                if len(own) > left:  # a stretch that the hash of the text chooses
+                    at = (order & MASK) % (len(own) - left + 1)
+                    own = own[at : at + left]
                 taken += [np.zeros(1, np.uint32), own]
                 size += len(own) + 1
         text = np.concatenate(taken) if taken else np.zeros(0, np.uint32)

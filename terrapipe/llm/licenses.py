@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -144,9 +148,73 @@ def normalised(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+@dataclass(frozen=True)
+class _Template:
+    name: str
+    grams: Counter  # of word bigrams
+    size: int
+    low: float  # Dice >= least bounds the bigrams of a window from below
+    high: int  # and from above
+    told: frozenset[str]
+
+
+class _Windows:
+    """The best windows of one template in one text: from each place where one of its bigrams stands."""
+
+    def __init__(self, of: _Template, hits: list[tuple[int, tuple[str, str]]], places: dict[str, np.ndarray], least: float) -> None:
+        self.of, self.least = of, least
+        self.at = np.array([i for i, _ in hits])
+        # A bigram counts in a window as often as the template has it: where the occurrence that many
+        # places before lies in the window too, it does not.
+        self.blocked = np.full(len(hits), -1)
+        earlier: dict[tuple[str, str], list[int]] = {}
+        for n, (_, g) in enumerate(hits):
+            own = earlier.setdefault(g, [])
+            if len(own) >= of.grams[g]:
+                self.blocked[n] = own[-of.grams[g]]
+            own.append(n)
+        self.end = np.searchsorted(self.at, self.at + of.high, side="left")  # no window is longer
+        # Bounds of the last bigram: all that tells the template must be inside, nothing of a sibling.
+        words = len(self.at) and int(self.at[-1]) + 2
+        after = lambda x: np.append(x, words + 1)[np.searchsorted(x, self.at)]
+        nothing = np.zeros(0, np.int64)
+        needed = [after(places.get(t, nothing)) for t in of.told]
+        others = [after(places[t]) for t in _VARIANTS - of.told if t in places]
+        self.first_last = np.max(needed, axis=0) - 1 if needed else np.zeros(len(hits), np.int64)
+        self.last_last = np.min(others, axis=0) - 2 if others else np.full(len(hits), words)
+
+    def best(self, starts: np.ndarray, limit: int) -> list[tuple[int, float, int, int]]:
+        """(start, dice, common, last hit) of the starts that have a window up to the word ``limit``: most in common, then the shortest."""
+        width = int((self.end[starts] - starts).max(initial=0))
+        reach = starts[:, None] + np.arange(width)
+        inside = reach < self.end[starts][:, None]
+        reach = np.minimum(reach, len(self.at) - 1)
+        common = ((self.blocked[reach] < starts[:, None]) & inside).cumsum(1)
+        last = self.at[reach]
+        dice = 2 * common / (self.of.size + last - self.at[starts][:, None] + 1)
+        ok = inside & (dice >= self.least) & (last + 2 <= limit)
+        ok &= (last >= self.first_last[starts][:, None]) & (last <= self.last_last[starts][:, None])
+        common = np.where(ok, common, -1)
+        if not width:
+            return []
+        pick = common.argmax(1)
+        row = np.arange(len(starts))
+        return [
+            (int(n), float(d), int(c), int(j))
+            for n, d, c, j in zip(starts, dice[row, pick], common[row, pick], reach[row, pick], strict=True)
+            if c >= 0
+        ]
+
+
 def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Callable[[str], list[tuple[str, float, int, int]]]:
-    """A function from a text to (licence, Dice, start, end): places with character offsets."""
-    known = []
+    """A function from a text to (licence, Dice, start, end): places with character offsets.
+
+    Of overlapping places the one with most bigrams in common is taken first, then the one of the higher
+    coefficient, then the earlier. Each start offers its best window; one that overlaps what is taken is
+    looked up anew in what is left. So the work follows the length of a text, however often it
+    repeats a wording.
+    """
+    known: list[_Template] = []
     starts: dict[tuple[str, str], list[int]] = {}
     for name, wording in templates:
         words = normalised(wording)
@@ -154,8 +222,7 @@ def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Callable[[s
         for g in grams:
             starts.setdefault(g, []).append(len(known))
         size = sum(grams.values())
-        # Of bigrams of a window that can reach the coefficient: Dice >= least bounds its size.
-        known.append((name, grams, size, size * least / (2 - least), size * (2 - least) / least, telling(words)))
+        known.append(_Template(name, grams, size, size * least / (2 - least) - 1e-9, int(size * (2 - least) / least + 1e-9), telling(words)))
     first_words = {g[0] for g in starts}
 
     def scan(text: str) -> list[tuple[str, float, int, int]]:
@@ -165,28 +232,38 @@ def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Callable[[s
             if a in first_words:
                 for k in starts.get((a, words[i + 1]), ()):
                     hits.setdefault(k, []).append((i, (a, words[i + 1])))
-        windows = []
-        for k, own in hits.items():
-            name, grams, size, low, high, told = known[k]
-            if len(own) < low:  # not even all of them in one window would do
-                continue
-            for n, (i, _) in enumerate(own):
-                seen: Counter = Counter()
-                common = 0
-                for j, g in own[n:]:
-                    if j - i + 1 > high:
-                        break
-                    seen[g] += 1
-                    common += seen[g] <= grams[g]
-                    dice = 2 * common / (size + j - i + 1)
-                    if dice >= least and told <= (own_told := telling(words[i : j + 2])) and not (own_told - told) & _VARIANTS:
-                        windows.append((-common, -dice, i, j + 2, name))
-        taken: list[tuple[int, int]] = []
+        hits = {k: own for k, own in hits.items() if len(own) >= known[k].low}  # else not even all of them in one window would do
+        if not hits:
+            return []
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in _VARIANTS or _VERSION.fullmatch(w):
+                places.setdefault(next(iter(telling([w]))), []).append(i)
+        found = {t: np.array(x) for t, x in places.items()}
+        offers: list[tuple] = []
+
+        def offer(k: int, starts: np.ndarray, limit: int) -> None:
+            own = windows[k]
+            for n, dice, common, last in own.best(starts, limit):
+                heapq.heappush(offers, (-common, -dice, int(own.at[n]), int(own.at[last]) + 2, known[k].name, k, n))
+
+        windows = {k: _Windows(known[k], own, found, least) for k, own in hits.items()}
+        for k, own in windows.items():
+            for at in range(0, len(own.at), 2048):
+                offer(k, np.arange(at, min(at + 2048, len(own.at))), len(words))
+        taken: list[tuple[int, int]] = []  # in order
         out = []
-        for _, dice, i, j, name in sorted(windows):
-            if all(j <= a or b <= i for a, b in taken):
-                taken.append((i, j))
-                out.append((name, -dice, i, j))
+        while offers:
+            common, dice, i, j, name, k, n = heapq.heappop(offers)
+            place = bisect.bisect_right(taken, (i, len(words) + 1))
+            if place and taken[place - 1][1] > i:
+                continue
+            limit = taken[place][0] if place < len(taken) else len(words)
+            if j > limit:
+                offer(k, np.array([n]), limit)
+                continue
+            taken.insert(place, (i, j))
+            out.append((name, -dice, i, j))
         if out:
             offsets = [m.span() for m in _TOKEN.finditer(text.lower())]
             out = [(name, dice, offsets[i][0], offsets[j - 1][1]) for name, dice, i, j in out]
@@ -205,6 +282,7 @@ def license_notices(
     apart GPL-2.0 and GPL-3.0, or CC-BY and CC-BY-SA); templates whose size bounds rule out the
     coefficient are not compared. Of overlapping places the one that shares most bigrams stays.
     Templates are a fixed list, each text is scanned in its own task, and nothing is shuffled.
+    Very long texts are scanned whole, repeated wording in time that follows their length.
     Defined cases: null, empty and one-word texts give no rows; ties go to the higher coefficient,
     then the earlier place; repeated rows give repeated results; offsets count characters of the
     lower-cased text; other columns are ignored.

@@ -176,7 +176,8 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
     """Mix the words of ``docs`` so that each source holds its target share.
 
     Sources, by code point and null last, weigh 5, 2, 1 and so on in turn. The words of a source,
-    its documents in order of doc_id, are packed into blocks of ``block_words``; each output shard
+    its documents in order of doc_id, are packed into as many blocks as ``block_words`` asks for, all of
+    one size but for a word, so every source ends within half a block of its target; each output shard
     draws multinomial source counts; the n-th slot of a source reads the block at the n-th place
     of a pseudorandom permutation of its blocks, a new permutation in every pass. Slots and blocks
     meet in a join on (source, block). A block is read at most once in a pass, and no source has
@@ -234,7 +235,7 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
     )
     upto = W.partitionBy("part", "source").orderBy(*place).rowsBetween(W.unboundedPreceding, 0)
     known = offsets.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
-        "of", F.col("part").alias("at_part"), "words_before", "source_id"
+        "of", F.col("part").alias("at_part"), "words_before", "source_id", "source_size", "n_blocks"
     )
     placed = (
         ranged.withColumn("to", F.sum("size").over(upto))
@@ -242,16 +243,16 @@ def mix_documents(docs: DataFrame, mix: Mix | None = None, row_id: str | None =
         .where(F.col("size") > 0)
         .withColumn("start", F.col("words_before") + F.col("to") - F.col("size"))
     )
-    b = mix.block_words
+    # The blocks of a source are even: the first ``more`` of them hold a word more than the others.
+    block = lambda w: f"if({w} < more * (base + 1), {w} div (base + 1), more + ({w} - more * (base + 1)) div base)"
+    begin = lambda k: f"({k}) * base + least({k}, more)"
     pieces = (
-        placed.select(
-            "part", "tie", "doc_id", "source_id", "start", "size",
-            F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"),
-        )
+        placed.withColumns({"base": F.expr("source_size div n_blocks"), "more": F.expr("source_size % n_blocks")})
+        .withColumn("block", F.explode(F.expr(f"sequence({block('start')}, {block('(start + size - 1)')})")))
         .select(
             "part", "tie", "doc_id", "source_id", "block",
-            F.greatest(F.col("block") * b - F.col("start"), F.lit(0)).alias("lo"),
-            F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")).alias("hi"),
+            F.greatest(F.expr(begin("block")) - F.col("start"), F.lit(0)).alias("lo"),
+            F.least(F.expr(begin("block + 1")) - F.col("start"), F.col("size")).alias("hi"),
         )
     )
     # The slots come from a few plan rows, so their size is underrated: both sides are to be shuffled.
