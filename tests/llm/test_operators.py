@@ -273,6 +273,43 @@ def _covered(item, text, least=4):
     return n / max(1, len(item))
 
 
+def plain_permuted(key, index, size):
+    """Four Feistel rounds over the least square that holds ``size``, walked until the result is inside; in whole numbers."""
+    side = next(a for a in range(1, size + 1) if a * a >= size)
+    while True:
+        left, right = divmod(index, side)
+        for turn in range(1, 5):
+            x = (key + right * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            left, right = right, (left + (x ^ x >> 31) % side) % side
+        index = left * side + right
+        if index < size:
+            return index
+
+
+def test_permutations_equal_the_plain_one():
+    for size in (1, 2, 7, 100, 1023):
+        for key in (5, -7, 2**62):
+            got = mixing.permuted(np.full(size, key), np.arange(size), np.full(size, size))
+            assert got.tolist() == [plain_permuted(key, x, size) for x in range(size)]
+
+
+def test_targets_of_small_sources_are_met(spark):
+    """Every source ends within an even block of its target, down to a word."""
+    sizes = [33, 1, 31, 32, 40, 65, 2, 33, 97, 33, 5, 64, 200, 33, 34, 63, 33, 500, 33, 7, 33, 33, 48, 33]
+    rows = [(k * 100 + j, " ".join(["w"] * n), "en", f"s{k:02}") for k, whole in enumerate(sizes) for j, n in enumerate([whole // 2, whole - whole // 2])]
+    got = mixing.words_taken(table(spark, rows)).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.doc_id // 100] += r.taken
+        target[r.doc_id // 100] = r.target
+        assert r.taken <= 3 * r["size"]
+    for k, n in enumerate(sizes):
+        block = -(-n // -(-n // 32))
+        assert abs(taken[k] - target[k]) <= block / 2 + 1, (n, taken[k], target[k])
+
+
 def test_pipeline_equals_a_plain_version(spark, tmp_path):
     """run() on a small folder against SQL and plain Python for each stage."""
     import duckdb
@@ -322,14 +359,17 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
         open_ = open_ - full if full else set()
     taken = collections.defaultdict(list)  # (doc_id, pass): its words
     for k, own in enumerate(words):
-        blocks = [own[at : at + mix.block_words] for at in range(0, len(own), mix.block_words)]
+        n_blocks = -(-len(own) // mix.block_words)
+        base, more = divmod(len(own), n_blocks)
+        edges = [k * base + min(k, more) for k in range(n_blocks + 1)]
+        blocks = [own[a:b] for a, b in zip(edges, edges[1:])]
         wanted = int(targets[k] * len(blocks) / len(own) + 0.5)
         for turn in range(-(-wanted // len(blocks))):
             n = min(len(blocks), wanted - turn * len(blocks))
             key = spark.range(1).select(F.xxhash64(F.lit(mix.seed), F.lit(k).cast("long"), F.lit(turn).cast("long"))).first()[0]
-            drawn = mixing.permuted(np.full(n, key), np.arange(n), np.full(n, len(blocks)))
-            assert len(set(drawn.tolist())) == n
-            for b in sorted(drawn.tolist()):
+            drawn = [plain_permuted(key, x, len(blocks)) for x in range(n)]
+            assert len(set(drawn)) == n
+            for b in sorted(drawn):
                 for doc_id, w in blocks[b]:
                     taken[doc_id, turn].append(w)
     whole = {r[0]: r[1] for r in rows}
