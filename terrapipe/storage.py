@@ -32,3 +32,8 @@ def removed(df: DataFrame) -> None:
     for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         at = hadoop(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
