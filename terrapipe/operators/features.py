@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,6 +113,37 @@ def build_features(
     return with_anomaly(out, pentad_climatology(panel, training_seasons))
 
 
+#: What a day's row brings to the features; a change of it must not show before the declared shift.
+SOURCES = ("rain_mm", "tmin_c", "tmax_c", "ens_dry_fraction", "oni", "mjo_amplitude")
+
+
+def shift_report(before: DataFrame, after: DataFrame, day: Column, features: tuple[Feature, ...] = FEATURES) -> DataFrame:
+    """(feature, min_shift, first_change, holds) of all features, from their values with and without a change from ``day`` on.
+
+    ``before`` and ``after`` (block_id, date, features) are built alike from inputs that agree on all days before
+    ``day``. first_change counts days from ``day`` to the first value that differs, null where none does.
+    A feature holds where that is no earlier than the shift it declares. One join, for all of them.
+    """
+    names = [f.name for f in features]
+    both = before.select("block_id", "date", day.alias("day_"), *names).join(
+        after.select("block_id", "date", *[F.col(c).alias(f"{c}_after") for c in names]), ["block_id", "date"]
+    )
+    moved = [F.min(F.when(~F.col(c).eqNullSafe(F.col(f"{c}_after")), F.datediff("date", "day_"))).alias(c) for c in names]
+    listed = F.array(*[F.struct(F.lit(f.name).alias("feature"), F.lit(f.min_shift).alias("min_shift"), F.col(f.name).alias("first_change")) for f in features])
+    found = both.agg(*moved).select(F.explode(listed).alias("x")).select("x.*")
+    return found.withColumn("holds", F.coalesce(F.col("first_change") >= F.col("min_shift"), F.lit(True)))
+
+
+def changed_from(rows: DataFrame, day: Column, columns: tuple[str, ...] = SOURCES) -> DataFrame:
+    """``rows`` with other values from ``day`` on: of rain and temperature, ensemble and indices, as far as they are there."""
+    other = {
+        "rain_mm": lambda c: F.coalesce(c, F.lit(0.0)) * 0.5 + 7.25,
+        "ens_dry_fraction": lambda c: 1 - F.coalesce(c, F.lit(0.25)) / 2,
+    }
+    moved = {c: other.get(c, lambda c: F.coalesce(c, F.lit(0.0)) + 1.5)(F.col(c)) for c in columns if c in rows.columns}
+    return rows.withColumns({c: F.when(F.col("date") >= day, new).otherwise(F.col(c)) for c, new in moved.items()})
+
+
 def drop_unlabelable(rows: DataFrame) -> DataFrame:
     return rows.dropna(subset=[*NAMES, "y"])
 

@@ -364,6 +364,26 @@ def _features(name: str, columns: tuple[str, ...]) -> None:
 for _name, _columns in _GROUPS.items():
     _features(_name, _columns)
 
+@query("feature_shifts")
+def feature_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift of every feature as declared and as found: all inputs change from a day in the middle of the panel's middle season on.
+
+    The climatology is that of the panel as it was: it is fitted, not shifted.
+    """
+    days = season_panel(spark, sf_dir)
+    _, first_last = observed(spark, sf_dir)
+    middle = F.make_date(F.expr("cast((year(first) + year(last)) / 2 as int)"), F.lit(8), F.lit(1))
+    day = F.broadcast(first_last.select(middle.alias("day_")))  # one row
+    tele = teleconnections(spark, sf_dir)
+    normals = feat.pentad_climatology(days)
+
+    def built(panel_: DataFrame, tele_: DataFrame) -> DataFrame:
+        return feat.with_anomaly(feat.fold_invariant(soil.balanced(panel_), JJAS, tele_), normals)
+
+    moved = [feat.changed_from(d.crossJoin(day), F.col("day_")).drop("day_") for d in (days, tele)]
+    return feat.shift_report(built(days, tele).crossJoin(day), built(*moved), F.col("day_"))
+
+
 cte(
     "rain3",
     ("panel",),
