@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import fold, slug
+from ..functions.names import ALIASES, STATES, fold, slug
 from ..operators.rules import newest
 
+
 def processed(spark: SparkSession, root: str, districts: list[str] | None = None, states: list[str] | None = None) -> DataFrame:
     """Documents below ``root``, the newest file of each document.filename; unreadable files are passed over.
 
@@ -65,18 +66,27 @@ def district_index(documents: DataFrame) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
-    """Files below ``root`` by state folder: state, stem, path and the hash of their content."""
+    """Files below ``root`` by state folder: state (its own name where it is one), stem, path and the hash of their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
-    inside = F.regexp_extract("path", f"{root.rstrip('/')}/(.*)$", 1)
+    # Paths are URLs below the root; the root itself may hold any characters, so it is cut off by length.
+    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    inside = F.substr("path", F.instr("path", base) + F.length(base))
     parts = F.split(inside, "/")
+    found = F.replace(parts[0], F.lit("_"), F.lit(" "))
+    known = F.create_map(*[F.lit(x) for code, name, _ in STATES for x in (_folded(name), name)])
+    other = F.create_map(*[F.lit(x) for old, code in ALIASES.items() for x in (old, next(n for c, n, _ in STATES if c == code))])
     return files.select(
-        F.replace(parts[0], F.lit("_"), F.lit(" ")).alias("state"),
+        F.coalesce(F.try_element_at(known, fold(found)), F.try_element_at(other, fold(found)), found).alias("state"),
         F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", "").alias("stem"),
         "path",
         F.sha2("content", 256).alias("sha256"),
     ).where(F.size(F.split(inside, "/")) > 1)
 
 
+def _folded(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalnum())
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Links of HTML index pages (page_id, html): state, url, place; a heading holds for what follows."""
     token = r"(<h[1-6][^>]*>[^<]*</h[1-6]>|<a[^>]+href=\"[^\"]+\")"
@@ -94,6 +104,47 @@ def write_documents(rules: DataFrame, path: str) -> None:
     keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("state_slug", "district_slug").json(path)
 
 
+def nested(documents: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row for each document: document, run and its rules in order, as ``processed`` reads them; of the tables of ``ingest``.
+
+    A document without rules has an empty list; rules of a document are gathered together, so a
+    document is as large as its rules, and a state as large as it likes.
+    """
+    rule = F.struct(
+        "rule_ord",
+        F.struct(
+            F.col("rule_id").alias("id"),
+            F.struct(
+                "state", "district", F.col("fields.condition").alias("condition"), "condition_code", F.col("fields.action").alias("action")
+            ).alias("fields"),
+            F.struct("document", "page", "source_text").alias("citation"),
+            "confidence",
+            F.col("status").alias("review_status"),
+            "notes",
+        ).alias("rule"),
+    )
+    listed = rules.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(rule)), lambda x: x["rule"]).alias("rules"))
+    run = runs.select("document_id", F.struct("pages_processed", "rules_extracted", "rules_needing_review").alias("run"))
+    about = documents.select(
+        "document_id", F.struct(F.col("document_id").alias("id"), "filename", "district", "state", "page_count", "sha256", "status").alias("document")
+    )
+    out = about.join(run, "document_id", "left").join(listed, "document_id", "left")
+    none = F.array().cast(listed.schema["rules"].dataType)
+    return out.select("document", "run", F.coalesce("rules", none).alias("rules"))
+
+
+def write_nested(corpus: DataFrame, path: str) -> None:
+    """A JSON file for each document of ``nested``, below folders of its state, district and stem; a rerun replaces the same folders.
+
+    Documents are dealt out by their folder, so a large state is the work of many tasks.
+    """
+    stem = F.regexp_replace("document.filename", r"\.[^.]+$", "")
+    none = lambda c: F.coalesce(F.nullif(slug(c), F.lit("")), F.lit("unknown"))
+    keyed = corpus.withColumns({"state_slug": none(F.col("document.state")), "district_slug": none(F.col("document.district")), "stem": none(stem)})
+    folders = ("state_slug", "district_slug", "stem")
+    keyed.repartition(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).json(path)
+
+
 def refuse_approved(rules: DataFrame) -> DataFrame:
     """Extraction never approves: an approved row is an error when the rows are written."""
     ok: Column = F.col("status") != "approved"
