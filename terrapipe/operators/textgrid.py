@@ -59,9 +59,9 @@ def split_row(line: Column) -> Column:
     def cells(pattern: str) -> Column:
         return F.filter(F.transform(F.split(line, pattern), trimmed), lambda c: c != "")
 
-    two = lambda c: F.when(F.size(c) >= 2, c)
-    bars, tabs, gaps = two(cells(r"\|")), two(cells("\t")), two(cells(" {2,}"))
-    return F.coalesce(bars, tabs, F.when(line.rlike(" {2,}"), gaps))
+    # Most lines hold none of the three, and are not split at all.
+    two = lambda mark, c: F.when(F.contains(line, F.lit(mark)), F.when(F.size(c) >= 2, c))
+    return F.coalesce(two("|", cells(r"\|")), two("\t", cells("\t")), two("  ", cells(" {2,}")))
 
 
 def chunks(pages: DataFrame) -> DataFrame:
