@@ -221,3 +221,71 @@ def test_license_windows():
     assert [(a, d < 1) for a, d, _, _ in scan(text)] == [("MIT", True)]
     a, b = scan("I say: Licensed under CC BY-NC 4.0.")[0][2:]
     assert "I say: Licensed under CC BY-NC 4.0."[a:b] == "Licensed under CC BY-NC 4.0"
+
+
+def test_chat_costs_equal_a_search_of_its_own():
+    """Least cost over all merges, relabels and insertions, from the rules of turns alone."""
+    from functools import cache
+
+    how = chat.Repair()
+    options = {role: chat.choices(role, how) for role in range(-1, 3)}
+    close = chat.closing(how)
+    after = {None: {0, 1}, 0: {1}, 1: {2}, 2: {1}}  # who may speak: system first or nobody, then user and assistant in turn
+
+    def brute(roles):
+        @cache
+        def least(i, last):
+            if i == len(roles):
+                return 0 if last in (None, 2) else 3 if last == 1 else 6
+            best = 10**6
+            for new in range(3):
+                given = 0 if new == roles[i] else 1 if roles[i] < 0 else 2
+                if new == last:
+                    best = min(best, given + 1 + least(i + 1, last))
+                for first in [(), *[(a,) for a in range(3)], *[(a, b) for a in range(3) for b in range(3)]]:
+                    turns = [last, *first, new]
+                    if all(b in after[a] for a, b in itertools.pairwise(turns)):
+                        best = min(best, given + 3 * len(first) + least(i + 1, new))
+            return best
+
+        return least(0, None)
+
+    rnd = random.Random(16)
+    for n in [0, 1, 1, 2, 2, *[rnd.randrange(1, 12) for _ in range(300)]]:
+        roles = tuple(rnd.randrange(-1, 3) for _ in range(n))
+        value = min(chat.fragment_matrix(list(roles), options)[chat.START] + np.array(close))
+        assert int(value) >> 32 == brute(roles), roles
+
+
+def test_ftrl_equals_a_plain_one():
+    """Per coordinate, over dictionaries and in the order of the rows."""
+    import math
+
+    from terrapipe.llm import quality_classifier as qc
+
+    rnd = random.Random(3)
+    words = ["good", "fine", "bad", "Ugly", "12", "...", "the", "a"]
+    rows = [(rnd.randrange(2), " ".join(rnd.choices(words, k=rnd.randrange(0, 30)))) for _ in range(60)]
+    how = qc.Ftrl(bits=12, epochs=2)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= how.l1:
+            return 0.0
+        return -(z[i] - math.copysign(how.l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    vocabulary = qc.Vocabulary()
+    for _ in range(how.epochs):
+        for label, text in rows:
+            x = Counter()
+            for i, v in zip(*(a.tolist() for a in qc.features(text, how.bits, vocabulary))):
+                x[i] += v
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha * w[i]
+                n[i] += g * g
+    got = qc.fit(iter(rows), how)
+    assert np.count_nonzero(got) > 20
+    assert np.allclose(got, [weight(i) for i in range(1 << how.bits)], atol=1e-4)
