@@ -53,3 +53,26 @@ def test_pages_of_parts_give_the_rules_of_the_page(spark):
     assert got == {
         (d, g, c, crop and " ".join(crop.replace("Pearl millet", n[:12].strip()).split())) for d, n in names.items() for g, c, crop in want
     }
+
+
+def test_district_report_of_a_few_days(spark):
+    from terrapipe.operators import report
+
+    days = [
+        ("S", "D", f"2020-06-{d:02}", d % 2, ["dry", None, "wet"][d % 3], "sow" if d == 5 else "abstain", ["r1", "r2"] if d % 2 else ["r2"])
+        for d in range(1, 8)
+    ] + [("S", "Quiet", "2020-06-01", 0, None, "abstain", [])]
+    rows = spark.createDataFrame(days, "state string, district string, as_of string, block_id int, detected string, action string, reasons array<string>")
+    rules = spark.createDataFrame([("S", "D", "dry", "approved"), ("S", "D", "unmapped", "approved"), ("S", "D", "wet", "pending")], "state string, district string, condition_code string, status string")
+    got = {(r.district, r.part, r.place): r.line for r in report.district_reports(rows, rules).collect()}
+    assert got == {
+        ("D", 1, 1): "2 rules by condition, 1 approved; 7 days scored, 4 conditions, 1 advisories",
+        ("D", 2, 1): "actions: abstain=6, sow=1",
+        ("D", 3, 1): "conditions: dry=2, wet=2",
+        ("D", 4, 1): "     6  r2",
+        ("D", 4, 2): "     3  r1",
+        ("D", 5, 1): "2020-06-05  block 1  SOW",
+        ("Quiet", 1, 1): "0 rules by condition, 0 approved; 1 days scored, 0 conditions, 0 advisories",
+        ("Quiet", 2, 1): "actions: abstain=1",
+        ("Quiet", 3, 1): "conditions: none",
+    }
