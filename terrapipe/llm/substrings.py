@@ -24,7 +24,7 @@ class Repeats:
 
     window: int = 50  # words of a repeat, at least
     sieve_bytes: int = 64 << 20  # most that is broadcast of the index of blocks
-    words: int = 1_000_000  # of the documents that a task works on at a time
+    words: int = 500_000  # of the documents that a task works on at a time
     vocabulary: int = 1_000_000  # distinct words known to a task before it starts anew
 
     @property
