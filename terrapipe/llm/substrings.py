@@ -256,7 +256,9 @@ def repeats(docs: DataFrame, how: Repeats | None = None) -> tuple[DataFrame, Dat
         "repeat-windows",
     )
     least = found.groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    gone = found.join(least.drop("most"), ["high", "low"]).where("doc_id > least")
+    # Written, so that the join shuffles both sides anew and Spark can split a digest that very many documents share.
+    least = written(least.drop("most"), "repeat-least")
+    gone = found.join(least, ["high", "low"]).where("doc_id > least")
     runs = gone.groupBy("uid").agg(F.array_sort(F.collect_set("at")).alias("at")).select("uid", _runs().alias("runs"))
     return rows, written(runs, "repeat-runs")
 
