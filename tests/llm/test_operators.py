@@ -64,6 +64,39 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](table(spark, [])).count() == 0
 
 
+def test_values_of_odd_rows(spark):
+    """Null (4), empty (5) and blank (6) texts, repeated rows (3), a null id, no letters (11)."""
+    by = lambda name: [(r["doc_id"], r) for r in OPERATORS[name](table(spark)).collect()]
+    shard = by("shard")
+    assert {d: r["size"] for d, r in shard if d in (4, 5, 6)} == {4: 8, 5: 8, 6: 12}
+    assert {(r["size"], r.text_crc32) for d, r in shard if d in (1, 3)} == {(len(BASE) + 8, zlib.crc32(BASE.encode()))}
+    assert {r.shard for d, r in shard if d is None} == {0}
+    mix = by("mix")
+    assert all((r["size"], r.taken) == (0, 0) for d, r in mix if d in (4, 5, 6))
+    assert {d: r["size"] for d, r in mix if d in (1, 7, 9)} == {1: 120, 7: 2, 9: 6000} and len({r.target for d, r in mix if d == 3}) == 1
+    rules = by("rules")
+    assert all((r.n_words, r.word_chars, r.base_failed, r.kept) == (0, 0, True, False) for d, r in rules if d in (4, 5, 6))
+    assert {(r.n_words, r.base_failed) for d, r in rules if d == 3} == {(120, False)}
+    near = by("near")
+    assert all((r.class_id, r.n_links, r.copies) == (d, 0, 1) for d, r in near if d in (4, 5, 6, 9, 11))
+    assert sorted((d, r.class_id, r.n_links, r.copies) for d, r in near if d in (1, 2, 3)) == [(1, 1, 3, 3), (2, 1, 3, 1), (3, 1, 3, 3), (3, 1, 3, 3)]
+    assert sorted((d, r.class_id, r.n_links) for d, r in near if d in (7, 8)) == [(7, 7, 1), (8, 7, 1)]
+    lang = by("lang")
+    assert {(r.lang_pred, r.score) for d, r in lang if d in (4, 5, 6, 11)} == {("und", 0.0)}
+    assert {r.lang_pred for d, r in lang if d == 9} == {"en"}
+    for name in ("quality", "toxic"):
+        scores = by(name)
+        assert all(0 <= r.score <= 1 and r.predicted in (0, 1) for _, r in scores)
+        assert len({r.score for d, r in scores if d in (1, 3)}) == 1 and len({r.score for d, r in scores if d in (4, 5)}) == 1
+    one = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in OPERATORS["one"](table(spark)).collect())
+    assert [d for _, d in one] == [1, 4, 5, 6, 7, 9, 10, 11, 0]
+    leaks = {(r.doc_id, r.item_id) for r in OPERATORS["leaks"](table(spark)).collect()}
+    assert {(1, 3), (3, 1), (2, 1), (7, 8), (8, 7)} <= leaks and not {d for d, _ in leaks} & {4, 5, 6}
+    clean = {r["doc_id"] for r in OPERATORS["clean"](table(spark)).collect()}
+    assert clean == {r[0] for r in ROWS} - {7, 8}
+    assert OPERATORS["license"](table(spark)).count() == 0
+
+
 def test_shards(spark):
     rows = [(i, "x" * (i * 7 % 90), "en", "a") for i in range(400)]
     got = sharding.shard_by_bytes(table(spark, rows), 8).orderBy("doc_id").collect()
