@@ -334,7 +334,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Crf) -> Model | None:
-    """The model, fitted in one task on a bounded sample; None where nothing is labelled."""
+    """The model, fitted in one task on a bounded sample; None where nothing is labelled.
+
+    Bounds of the fit: about ``max_rows`` labelled documents, of these in hash order as many as hold
+    ``max_tokens`` tokens, cut into chains of ``chain`` tokens. Scoring has none of them.
+    """
     sample = training_sample(docs, labels, "toxic", how.max_rows, how.seed)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
