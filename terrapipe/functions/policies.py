@@ -1,7 +1,8 @@
 """What may be approved, and what may be said: columns of a rule joined to its document.
 
 Columns used: status, condition_code, confidence, district, condition, cite_document, cite_page,
-source_text, and, where they are known, page_count and page_text.
+source_text, and, where they are known, page_count and page_text. The texts of all reasons below are
+fixed values: they are what a reviewer reads in the records.
 """
 
 from __future__ import annotations

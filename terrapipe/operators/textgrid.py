@@ -33,6 +33,8 @@ OPTIONAL = ("crop", "crop_stage", "action", "variety", "seed_rate", "actor", "so
 EMPTY_MARKS = ("-", "--", "---", "-do-", "na", "n/a", "nil", "none")
 MIN_LINES, MIN_COLUMNS, MAX_LINES, MAX_CELL = 3, 3, 400, 2000
 
+#: A numbered heading, which ends a table, and a heading in capitals.
+_NUMBERED, _CAPITALS = r"^\s*\d+(\.\d+){1,3}\s+\S", r"^[A-Z0-9][A-Z0-9 ,/\-()&.]{3,80}:?$"
 _LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 _REGION = ("document_id", "page", "region_no")
 
@@ -68,7 +70,7 @@ def chunks(pages: DataFrame) -> DataFrame:
     """Lines that are not blank, as table_row (with its cells), heading or paragraph."""
     out = lines_of(pages).withColumn("text", trimmed(F.col("line"))).where("text <> ''")
     out = out.withColumn("columns", split_row(F.col("text")))
-    heading = F.col("text").rlike(r"^[A-Z0-9][A-Z0-9 ,/\-()&.]{3,80}:?$") & (F.size(F.split("text", r"\s+")) <= 12)
+    heading = F.col("text").rlike(_CAPITALS) & (F.size(F.split("text", r"\s+")) <= 12)
     kind = F.when(F.col("columns").isNotNull(), "table_row").when(heading, "heading").otherwise("paragraph")
     return out.select("document_id", "page", "line_no", "text", kind.alias("kind"), "columns")
 
@@ -84,7 +86,7 @@ def regions(pages: DataFrame) -> DataFrame:
     marked = lines_of(pages).withColumn("region_no", F.sum(banner.cast("int")).over(on_page)).where("region_no > 0")
     in_region = W.partitionBy(*_REGION)
     marked = marked.withColumn("offset", F.col("line_no") - F.min("line_no").over(in_region))
-    heading = F.col("line").rlike(r"^\s*\d+(\.\d+){1,3}\s+\S") & (F.col("offset") > 0)
+    heading = F.col("line").rlike(_NUMBERED) & (F.col("offset") > 0)
     marked = marked.withColumn("end", F.least(F.min(F.when(heading, F.col("offset"))).over(in_region), F.lit(MAX_LINES)))
     kept = marked.where("offset < end").withColumn("n_lines", F.count(F.lit(1)).over(in_region))
     return kept.where(F.col("n_lines") >= MIN_LINES).select(*_REGION, "offset", "line", "line_no")

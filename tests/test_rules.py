@@ -38,7 +38,7 @@ def test_conditions(spark, given, code):
 
 def test_phrases(spark):
     cases = {
-        "Normal onset followed by 15-20 days dry spell after sowing": "dry_spell_after_sowing",
+        "Rains set in on time, then 15-20 days of dry spell after sowing of the crop": "dry_spell_after_sowing",
         "Delay by 4 weeks (Aug 1st week)": "delayed_onset",
         "Mid–season drought": "mid_season_dry_spell",
         "Terminal drought (long dry spell)": "terminal_drought",
