@@ -14,6 +14,7 @@ from ..operators import features as feat
 from ..operators import labels as lab
 from ..operators import models, panel, soil, verify
 from ..sources.adapters import OBSERVATIONS_SQL, TELECONNECTIONS_SQL, bounds, observations, observed, read, teleconnections
+from ..storage import written
 from .registry import cte, query, r, rounded, sql
 
 PI2 = repr(2 * math.pi)
@@ -557,8 +558,11 @@ plain AS (
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, block_id, date, y, p and the climatology as ref."""
-    return models.ladder(base_rows(spark, sf_dir))
+    """model, block_id, date, y, p and the climatology as ref.
+
+    The narrow rows below are written once, as counts, folds and scores all read them; nothing stays cached.
+    """
+    return models.ladder(written(base_rows(spark, sf_dir), "base-rows"))
 
 
 def _verify(name: str, oracle: str, make) -> None:  # noqa: ANN001
