@@ -1,4 +1,4 @@
-"""Queries of the review plane: events on the rules of every nation, listings, data rules."""
+"""Queries of the review plane: events on the rules of every nation and circle, listings, data rules."""
 
 from __future__ import annotations
 
@@ -11,20 +11,20 @@ from ..operators import rules as rule_ops
 from ..sources.adapters import read
 from . import weather
 from .registry import cte, query, r, rounded, sql
-from .rules import rule_rows, with_pages
+from .rules import origins, rule_rows, with_pages
 
 cte(
     "documents_known",
-    (),
+    ("rules",),
     """
-documents_known AS (SELECT 'doc' || n_nationkey AS document, (18 + n_nationkey * 5 % 23)::INT AS page_count FROM nation WHERE n_nationkey % 4 <> 3)""",
+documents_known AS (SELECT 'doc' || n AS document, (18 + n * 5 % 23)::INT AS page_count FROM origins WHERE n % 4 <> 3)""",
 )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their page counts; of every fourth nation's none is known."""
-    n = F.col("n_nationkey")
-    return read(spark, sf_dir, "nation").where(n % 4 != 3).select(
+    """Documents with their page counts; of every fourth origin's none is known."""
+    n = F.col("n")
+    return origins(spark, sf_dir).where(n % 4 != 3).select(
         F.concat(F.lit("doc"), n.cast("string")).alias("document"), (18 + n * 5 % 23).cast("int").alias("page_count")
     )
 
