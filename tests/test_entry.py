@@ -12,6 +12,7 @@ CHEAP = (
     "review_latest", "review_queue", "rule_violations", "rules_envelope", "run_totals",
     "panel_season_window", "pentad_climatology", "panel_interpolate_temp", "soil_bucket", "features_all", "et0_hargreaves",
     "dry_run_length", "labels_L14", "panel_report", "coverage_totals", "can_approve", "hysteresis", "chunk_lines", "upsert_latest",
+    "district_resolve", "table_regions", "column_bands", "header_labels", "assembled_rows", "rows_by_condition", "rule_citation",
 )
 
 

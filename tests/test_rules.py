@@ -7,7 +7,15 @@ from terrapipe.functions import conditions as cond
 from terrapipe.functions import decisions as dec
 from terrapipe.functions import names, policies
 from terrapipe.operators import rules, textgrid
-from terrapipe.plans.text import pages
+from terrapipe.plans.text import PAGE, part_documents
+
+LINES_PAGE = "\n".join(("Weather aberration | Crop | Suggested action", "Heavy rain at flowering | Cotton | Drain the field", "Cold wave | - | N/A", "plain text"))
+
+
+def pages(spark):
+    rows = [("plan", 9, PAGE.strip()), ("lines", 1, LINES_PAGE), ("lines", 2, "Flood | Paddy"), ("prose", 1, "Nothing here.\nNot a table.")]
+    return spark.createDataFrame(rows, "document_id string, page int, text string")
+
 
 STATE = "as_of string, soil_moisture_fraction double, consecutive_dry_days int, days_since_sowing int, onset_delay_days int, rain_3d_mm double, rain_3d_normal_mm double"
 
@@ -141,3 +149,23 @@ def test_line_path_waits_for_a_header(spark):
     df = spark.createDataFrame([("d", 1, text)], "document_id string, page int, text string")
     got = textgrid.extracted(df).collect()
     assert [r.fields.condition for r in got] == ["Heavy rain"] and got[0].condition_code == "unseasonal_rain"
+
+
+def test_layout_of_a_document_decides_the_path(spark, tmp_path):
+    """Sizes 0 to 19 meet every layout; the expected path, rows and crops are written out from the layouts alone."""
+    rows = [(k, f"name {k}", "LARGE BRUSHED TIN", k) for k in range(20)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    docs = part_documents(spark, str(tmp_path)).cache()
+    assert {(r.document_id, r.page) for r in docs.select("document_id", "page").collect()} == {(f"part{k}", 1) for k in range(20)} | {(f"part{k}", 2) for k in range(0, 20, 5)}
+    found = textgrid.extracted(docs).select("document_id", "path", "page", "fields.crop", "fields.action", "condition_code").collect()
+    path = {r.document_id: r.path for r in found}
+    assert not any(f"part{k}" in path for k in range(1, 20, 5))  # prose
+    for k in range(20):
+        own = [r for r in found if r.document_id == f"part{k}"]
+        if k % 5 == 0:  # the second page has no header of its own, and counts as the document has had one
+            assert path[f"part{k}"] == "line" and {r.page for r in own} == {1, 2}
+            assert [r.crop for r in own if r.action == "Drain the field"] == [f"name {k}"]
+        elif k % 5 >= 2 and k % 4 < 2:
+            assert path[f"part{k}"] == "table" and len({r.condition_code for r in own}) >= 3
+            assert any(f"name {k}" in (r.crop or "") for r in own) and any("LARGE BRUSHED TIN" in (r.action or "") for r in own)
+    docs.unpersist()
