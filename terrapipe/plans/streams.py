@@ -54,12 +54,16 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit after batches that come out of order and twice: each evaluation once, each advisory once, with the place of its event."""
-    rows = evaluations(spark, sf_dir)
     part = F.pmod(F.xxhash64("event_id"), F.lit(3))
-    slices = [part == 1, part == 0, part == 1, F.lit(True)]
+    return audited(evaluations(spark, sf_dir), [part == 1, part == 0, part == 1, F.lit(True)])
+
+
+def audited(rows: DataFrame, slices: list[Column]) -> DataFrame:
+    """Each evaluation of the slices with the place of its advisory; where all are silent there is no advisory to read."""
+    spark = rows.sparkSession
     base = fed(rows, slices, lambda s, at: sinks.audit_with_parent(s, f"{at}/events", f"{at}/advisories", f"{at}/checkpoint"))
-    events = spark.read.parquet(f"{base}/events").select("event_id", "action", "reason")
-    said = spark.read.parquet(f"{base}/advisories").select("event_id", "state", "district")
+    events = sinks.table(spark, f"{base}/events", "event_id long, action string, reason string")
+    said = sinks.table(spark, f"{base}/advisories", "event_id long, state string, district string")
     return events.join(said, "event_id", "left").select("event_id", "action", "reason", "state", "district")
 
 
@@ -103,7 +107,8 @@ def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     make = lambda s: sinks.sliding(s, ["event_type"], "1 day", "6 hours", "2 days")
     base = fed(rows, [F.col("part") == k for k in range(5)], _appended(make))
-    return rounded(spark.read.parquet(f"{base}/out").where("event_type <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+    out = sinks.table(spark, f"{base}/out", "event_type string, start timestamp, n long, total double")
+    return rounded(out.where("event_type <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
 
 
 @query(
@@ -119,7 +124,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.col("event_id") % 2
     make = lambda s: sinks.sessions(s, ["user_id"], "12 hours", "40 days")
     base = fed(rows, [(F.col("part") < 4) & (half == 1), (F.col("part") < 4) & (half == 0), F.col("part") == 4], _appended(make))
-    return rounded(spark.read.parquet(f"{base}/out").where("user_id >= 0").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+    out = sinks.table(spark, f"{base}/out", "user_id long, start timestamp, n long, total double")
+    return rounded(out.where("user_id >= 0").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
 
 
 @query(
@@ -150,4 +156,4 @@ def stream_newest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.xxhash64("file_id"), F.lit(3))
     start = lambda s, at: sinks.log_changes(sinks.newest_of_source(s), f"{at}/log", f"{at}/checkpoint")
     base = fed(rows, [part == 2, part == 0, part == 2, part == 1], start)
-    return sinks.standing(spark.read.parquet(f"{base}/log"))
+    return sinks.standing(sinks.table(spark, f"{base}/log", "source string, file_id long, modified long, change string"))

@@ -22,6 +22,11 @@ def _kept(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | N
     return spark.read.schema(whole).parquet(path) if exists(spark, path) else None
 
 
+def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of ``schema`` of what a sink has left; no rows where it has left none, as then no file says what they are."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def record(batch: DataFrame, epoch: int, path: str, key: str, at: str) -> DataFrame:
     """Write the rows of ``batch`` that no other epoch holds, one for each ``key``; return them.
 

@@ -34,6 +34,14 @@ def test_replayed_and_reordered_batches_leave_each_event_once(spark):
     assert all((r.state, r.district, r.reason) == (want[r.event_id].state, want[r.event_id].district, want[r.event_id].reason) for r in said)
 
 
+def test_evaluations_that_are_all_silent_leave_an_audit_without_advisories(spark):
+    rows = evaluations(spark).withColumn("action", F.lit("abstain"))
+    part = F.col("part")
+    got = streams.audited(rows, [part == 2, part == 0, part == 2, F.lit(True)]).collect()
+    assert sorted(r.event_id for r in got) == list(range(60)) and all((r.state, r.district) == (None, None) for r in got)
+    assert streams.audited(rows.limit(0), [F.lit(True)]).isEmpty()
+
+
 def test_an_epoch_that_runs_again_replaces_itself(spark, tmp_path):
     rows = evaluations(spark, 20).drop("part")
     for turn in range(3):
