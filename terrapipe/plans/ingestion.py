@@ -19,9 +19,11 @@ LINES = "Weather aberration | Crop | Suggested action\nHeavy rain at flowering |
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for every row of pages, in six kinds by its id: a table, lines, prose, a copy of the file before, a broken one, one without a page."""
     kind = F.col("page_id") % 6
-    own = F.concat(F.lit("\n\nplan of "), F.col("url"))
-    prose = F.concat(F.lit("No rules here, see "), F.col("url"))
-    lines = F.concat(F.lit(LINES), F.lit("\n"), F.col("url"))
+    name = F.concat(F.lit("plan"), F.lpad(F.col("page_id").cast("string"), 9, "0"))
+    place = F.concat_ws(" ", "url", name)  # some pages share their url, and only the third kind is of copies
+    own = F.concat(F.lit("\n\nplan of "), place)
+    prose = F.concat(F.lit("No rules here, see "), place)
+    lines = F.concat(F.lit(LINES), F.lit("\n"), place)
     texts = (
         F.when(kind == 0, F.array(F.concat(F.lit(PAGE), own), prose))
         .when(kind == 1, F.array(prose, lines))
@@ -29,7 +31,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.array(F.lit("the same text in every copy")))
         .when(kind == 4, F.array(prose, F.lit(None).cast("string")))
     )
-    name = F.concat(F.lit("plan"), F.lpad(F.col("page_id").cast("string"), 9, "0"))
     return read(spark, sf_dir, "pages").select(
         F.concat(F.lit("in/"), name, F.lit(".pdf")).alias("path"),
         F.concat(name, F.lit(".pdf")).alias("filename"),

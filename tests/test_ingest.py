@@ -101,3 +101,14 @@ def test_states_of_raw_files_are_canonical(spark, tmp_path):
     got = {r.stem: r.state for r in corpus.raw_files(spark, str(root)).collect()}
     assert got == {"a": "Odisha", "b": "Uttar Pradesh", "c": "Elsewhere"}
     assert corpus.raw_files(spark, str(root)).select(F.length("sha256")).distinct().first()[0] == 64
+
+
+def test_pages_that_share_a_url_are_files_of_their_own(spark, tmp_path):
+    rows = [(i, "http://h/one", "") for i in range(12)] + [(12, None, ""), (13, "http://h/one", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {int(r.path[7:16]): (r.outcome, r.rerun) for r in ingestion.ingest_outcomes(spark, str(tmp_path)).collect()}
+    want = {i: ("error", "error") if i % 6 > 3 else ("duplicate", "duplicate") if i == 9 else ("ingested", "duplicate") for i in range(14)}
+    assert got == want
+    assert ingestion.list_pages(spark, str(tmp_path)).count() == 2 * 6 + 3
+    runs = {int(r.filename[4:13]): (r.pages_processed, r.rules_extracted) for r in ingestion.ingest_runs(spark, str(tmp_path)).collect()}
+    assert runs == {i: ((2, 3), (2, 2), (1, 0), (1, 0))[i % 6] for i in range(14) if want[i][0] == "ingested"}
