@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.conditions import UNMAPPED, deciding_phrase, normalized
+from ..storage import written
 
 #: Titles of columns, in the normal form of ``label``.
 LABELS = (
@@ -75,151 +76,186 @@ def chunks(pages: DataFrame) -> DataFrame:
     return out.select("document_id", "page", "line_no", "text", kind.alias("kind"), "columns")
 
 
+def _once(table: DataFrame, /, **columns: Column) -> DataFrame:
+    """``table`` with columns that are worked out once for each: what lies behind a generator no later filter or projection repeats."""
+    return table.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def regions(pages: DataFrame) -> DataFrame:
-    """Lines of the table regions: region_no, offset and line.
+    """The table regions of each page, a row each: region_no, the number of its first line on the page, and its lines.
 
     A region opens at a line that begins with 'condition' and ends before the next one, a numbered
-    heading, the page's end, or after 400 lines. Regions of fewer than three lines are none.
+    heading, the page's end, or after 400 lines. Regions of fewer than three lines are none. A page is one row;
+    what follows works inside the row of a region, so nothing is shuffled.
     """
-    on_page = W.partitionBy("document_id", "page").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    banner = F.col("line").rlike(r"(?i)^\s*condition\b")
-    marked = lines_of(pages).withColumn("region_no", F.sum(banner.cast("int")).over(on_page)).where("region_no > 0")
-    in_region = W.partitionBy(*_REGION)
-    marked = marked.withColumn("offset", F.col("line_no") - F.min("line_no").over(in_region))
-    heading = F.col("line").rlike(_NUMBERED) & (F.col("offset") > 0)
-    marked = marked.withColumn("end", F.least(F.min(F.when(heading, F.col("offset"))).over(in_region), F.lit(MAX_LINES)))
-    kept = marked.where("offset < end").withColumn("n_lines", F.count(F.lit(1)).over(in_region))
-    return kept.where(F.col("n_lines") >= MIN_LINES).select(*_REGION, "offset", "line", "line_no")
+    text = F.regexp_replace("text", f"(?:{_LINE_END})$", "")
+    split = _once(pages.where(F.col("text") != ""), all=F.split(text, _LINE_END))
+    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.col("all")[i].rlike(r"(?i)^\s*condition\b"))
+    opened = _once(split.select("document_id", "page", "all"), at=at).select("*", F.posexplode("at").alias("k", "first"))
+    most = F.least(F.coalesce(F.get("at", F.col("k") + 1), F.size("all")) - F.col("first"), F.lit(MAX_LINES))
+    whole = _once(opened, region_no=(F.col("k") + 1).cast("long"), whole=F.slice("all", F.col("first") + 1, most)).select(*_REGION, "first", "whole")
+    heading = F.transform("whole", lambda x, i: x.rlike(_NUMBERED) & (i > 0))
+    stopped = _once(whole, stop=F.array_position(heading, True).cast("int"))
+    lines = F.when(F.col("stop") > 0, F.slice("whole", F.lit(1), F.col("stop") - 1)).otherwise(F.col("whole"))
+    return _once(stopped, lines=lines).select(*_REGION, "first", "lines").where(F.size("lines") >= MIN_LINES)
+
+
+def region_lines(found: DataFrame) -> DataFrame:
+    """offset, line and line_no of every line of ``regions``."""
+    one = found.select(*_REGION, "first", F.posexplode("lines").alias("offset", "line"))
+    return one.select(*_REGION, "offset", "line", (F.col("first") + F.col("offset")).alias("line_no"))
 
 
-def bands(region_lines: DataFrame) -> DataFrame:
-    """starts and ends of the columns of each region.
+def columned(found: DataFrame) -> DataFrame:
+    """``regions`` with starts and ends of their columns; those that cannot be read as a table go.
 
     Character positions that any tabular line fills make up the columns; gaps of one position are
     word breaks. Fewer than three tabular lines or three columns: not a table that can be read.
     """
-    line = F.rtrim("line")
-    tabular = region_lines.where(line.rlike(" {2,}")).select(*_REGION, line.alias("line"))
-    enough = tabular.groupBy(*_REGION).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_LINES).drop("n")
-    filled = (
-        tabular.select(*_REGION, F.posexplode(F.split("line", "")).alias("at", "ch")).where("ch <> ' ' AND ch <> ''").select(*_REGION, "at").distinct()
-    )
-    w = W.partitionBy(*_REGION).orderBy("at")
-    begins = F.coalesce((F.col("at") - F.lag("at").over(w) > 2).cast("int"), F.lit(1))
-    islands = filled.withColumn("begins", begins).withColumn(
-        "band", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0))
-    )
-    one = islands.groupBy(*_REGION, "band").agg(F.struct(F.min("at").alias("a"), (F.max("at") + 1).alias("b")).alias("x"))
-    return (
-        one.join(enough, list(_REGION))
-        .groupBy(*_REGION)
-        .agg(F.array_sort(F.collect_list("x")).alias("x"))
-        .where(F.size("x") >= MIN_COLUMNS)
-        .select(*_REGION, F.col("x.a").alias("starts"), F.col("x.b").alias("ends"))
-    )
+    tabular = F.filter(F.transform("lines", F.rtrim), lambda x: x.rlike(" {2,}"))
+    rows = _once(found, tabular=tabular).where(F.size("tabular") >= MIN_LINES)
+    filled = lambda x: F.array_compact(F.transform(F.split(x, ""), lambda ch, i: F.when((ch != " ") & (ch != ""), i)))
+    rows = _once(rows, at=F.array_sort(F.array_distinct(F.flatten(F.transform("tabular", filled)))))
+    begins = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > 2))
+    ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - x > 2))
+    rows = _once(rows, starts=begins, ends=F.transform(ends, lambda x: x + 1))
+    return rows.where(F.size("starts") >= MIN_COLUMNS).drop("tabular", "at")
+
+
+def bands(found: DataFrame) -> DataFrame:
+    """starts and ends of the columns of each region."""
+    return columned(found).select(*_REGION, "starts", "ends")
 
 
 def label(c: Column) -> Column:
     return F.regexp_replace(F.lower(collapsed(c)), ":+$", "")
 
 
-def cells_of(region_lines: DataFrame, found: DataFrame) -> DataFrame:
-    """cells and data (cells without column titles) of each line, cut where columns begin."""
+def cells_of(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``cut`` of regions whose bands (starts, ends) come from another table."""
+    return cut(found.join(known, list(_REGION)))
 
-    def cell(i: Column) -> Column:
+
+def cut(table: DataFrame) -> DataFrame:
+    """cells and data (cells without column titles) of each line of a region, cut where its columns begin."""
+
+    def cell(line: Column, i: Column) -> Column:
         start = F.col("starts")[i]
-        stop = F.coalesce(F.get("starts", i + 1), F.length("line"))
-        return trimmed(F.substring(F.col("line"), start + 1, F.greatest(stop - start, F.lit(0))))
+        stop = F.coalesce(F.get("starts", i + 1), F.length(line))
+        return trimmed(F.substring(line, start + 1, F.greatest(stop - start, F.lit(0))))
+
+    columns = F.sequence(F.lit(0), F.size("starts") - 1)
+    out = _once(table, cells=F.transform("lines", lambda line: F.transform(columns, lambda i: cell(line, i))))
+    return _once(out, data=F.transform("cells", lambda x: F.transform(x, lambda c: F.when(label(c).isin(*LABELS), "").otherwise(c))))
+
+
+def _titles(table: DataFrame) -> DataFrame:
+    """``cut`` with titles: of each column the fragments in their order, each once; '' where there is none."""
+    offsets = F.sequence(F.lit(0), F.size("lines") - 1)
 
-    cells = F.transform(F.sequence(F.lit(0), F.size("starts") - 1), cell)
-    out = region_lines.join(found, list(_REGION)).withColumn("cells", cells)
-    return out.withColumn("data", F.transform("cells", lambda c: F.when(label(c).isin(*LABELS), "").otherwise(c)))
+    def title(i: Column) -> Column:
+        one = lambda o: F.when(F.col("data")[o][i] == "", F.nullif(F.col("cells")[o][i], F.lit("")))
+        return F.array_join(F.array_distinct(F.array_compact(F.transform(offsets, one))), " ")
 
+    return _once(table, titles=F.transform(F.sequence(F.lit(0), F.size("starts") - 1), title))
 
-def titles(cut: DataFrame) -> DataFrame:
+
+def titles(table: DataFrame) -> DataFrame:
     """titles of the columns of each region, from title fragments anywhere in it, each once."""
-    w = W.partitionBy(*_REGION, "column")
-    at = cut.select(*_REGION, "offset", "starts", F.posexplode("cells").alias("column", "cell")).where(label(F.col("cell")).isin(*LABELS))
-    first = at.groupBy(*_REGION, "starts", "column", "cell").agg(F.min("offset").alias("offset"))
-    text = first.withColumn("all", F.array_sort(F.collect_list(F.struct("offset", "cell")).over(w)))
-    by_column = text.groupBy(*_REGION, "column").agg(F.first("all").alias("all"), F.first(F.size("starts")).alias("n"))
-    known = by_column.groupBy(*_REGION).agg(
-        F.map_from_entries(F.collect_list(F.struct("column", F.array_join("all.cell", " ")))).alias("m"), F.max("n").alias("n")
-    )
-    filled = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
-    return known.select(*_REGION, filled.alias("titles"))
+    return _titles(table).select(*_REGION, "titles").where(F.exists("titles", lambda t: t != ""))
+
 
+def _rows(table: DataFrame) -> DataFrame:
+    """``cut`` with its logical rows as an array of (row_no, cells, source_lines, first_line, last_line)."""
+    some = lambda a: F.exists(a, lambda c: c != "")
+    offsets = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda o: ~(some(F.col("cells")[o]) & ~some(F.col("data")[o])))
+    mark = lambda o: F.struct(o.alias("o"), (trimmed(F.col("lines")[o]) == "").alias("blank"), (F.col("data")[o][0] != "").alias("has_first"))
+    rows = _once(table, marks=F.transform(offsets, mark))
+    filled = lambda m: ~m["blank"] & m["has_first"]
+    places = F.sequence(F.lit(0), F.size("marks") - 1)
+    opens = F.filter(places, lambda p: filled(F.col("marks")[p]) & ~F.coalesce(filled(F.get("marks", p - 1)), F.lit(False)))
+    rows = _once(rows.where(F.size("marks") > 0), opens=opens)
+
+    def own(p: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("opens", k + 1), F.size("marks"))
+        return F.transform(F.filter(F.slice("marks", p + 1, stop - p), lambda m: ~m["blank"]), lambda m: m["o"])
+
+    rows = _once(rows, own=F.transform("opens", own))
+
+    def column(at: Column, i: Column) -> Column:
+        parts = F.filter(F.transform(at, lambda o: F.col("data")[o][i]), lambda c: c != "")
+        return collapsed(F.array_join(F.transform(parts, collapsed), " "))
 
-def rows_of(cut: DataFrame) -> DataFrame:
+    def row(at: Column, k: Column) -> Column:
+        return F.struct(
+            (k + 1).cast("long").alias("row_no"),
+            F.transform(F.sequence(F.lit(0), F.size("starts") - 1), lambda i: column(at, i)).alias("cells"),
+            F.transform(at, lambda o: F.col("lines")[o]).alias("source_lines"),
+            at[0].alias("first_line"),
+            (at[0] + F.size(at) - 1).alias("last_line"),
+        )
+
+    rows = _once(rows, every=F.transform("own", row))
+    real = F.filter("every", lambda x: (x["cells"][0] != "") & ~x["cells"][0].rlike(r"^\d{1,3}$"))
+    return _once(rows, rows=real).drop("marks", "opens", "own", "every")
+
+
+def rows_of(table: DataFrame) -> DataFrame:
     """Logical rows: row_no, cells, source_lines, first and last offset.
 
     A filled first column after an empty one opens a row; blank lines empty it, lines of titles
     alone do not count at all. What stands before the first row, and rows whose first cell ends up
     empty or a page number, are dropped.
     """
-    some = lambda a: F.exists(a, lambda c: c != "")
-    lines = cut.where(~(some("cells") & ~some("data"))).withColumn("blank", trimmed(F.col("line")) == "")
-    w = W.partitionBy(*_REGION).orderBy("offset")
-    filled = ~F.col("blank") & (F.col("data")[0] != "")
-    lines = lines.withColumn("filled", filled)
-    opens = F.col("filled") & ~F.coalesce(F.lag("filled").over(w), F.lit(False))
-    lines = lines.withColumn("row_no", F.sum(opens.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    kept = lines.where("row_no > 0 AND NOT blank")
-    grouped = kept.groupBy(*_REGION, "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("offset", "data", "line"))).alias("x"), F.max(F.size("starts")).alias("n")
-    )
-
-    def column(i: Column) -> Column:
-        parts = F.filter(F.transform("x.data", lambda d: d[i]), lambda c: c != "")
-        return collapsed(F.array_join(F.transform(parts, collapsed), " "))
-
-    out = grouped.select(
-        *_REGION,
-        "row_no",
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), column).alias("cells"),
-        F.col("x.line").alias("source_lines"),
-        F.col("x.offset")[0].alias("first_line"),
-        (F.col("x.offset")[0] + F.size("x") - 1).alias("last_line"),
+    return _rows(table).select(*_REGION, F.explode("rows").alias("x")).select(*_REGION, "x.*")
+
+
+def _groups(table: DataFrame) -> DataFrame:
+    """``_rows`` with a row for each group of rows that describe one condition."""
+    table = table.drop("cells", "data", "lines", "starts", "ends").where(F.size("rows") > 0)
+    coded = _once(table, codes=F.transform("rows", lambda x: F.nullif(normalized(x["cells"][0]), F.lit(UNMAPPED))))
+    coded = _once(coded, real=F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda r: F.col("codes")[r].isNotNull()))
+    opens = F.filter("real", lambda r, j: (j > 0) & (F.col("codes")[r] != F.col("codes")[F.get("real", j - 1)]))
+    coded = _once(coded, opens=F.concat(F.array(F.lit(0)), opens))
+    one = coded.select("*", F.posexplode("opens").alias("k", "at"))
+    n = F.coalesce(F.get("opens", F.col("k") + 1), F.size("rows")) - F.col("at")
+    own = _once(one, x=F.slice("rows", F.col("at") + 1, n), known=F.array_compact(F.slice("codes", F.col("at") + 1, n)))
+    column = lambda i: F.array_join(F.filter(F.transform("x.cells", lambda c: c[i]), lambda v: v != ""), " ")
+    return _once(
+        own,
+        group_no=F.col("k").cast("long"),
+        code=F.coalesce(F.get("known", F.lit(0)), F.lit(UNMAPPED)),
+        cells=F.transform(F.sequence(F.lit(0), F.size(F.col("x.cells")[0]) - 1), column),
+        source_lines=F.flatten("x.source_lines"),
+        first_line=F.array_min("x.first_line"),
+        last_line=F.array_max("x.last_line"),
     )
-    return out.where((F.col("cells")[0] != "") & ~F.col("cells")[0].rlike(r"^\d{1,3}$"))
 
 
 def merged_by_condition(rows: DataFrame) -> DataFrame:
     """Rows of a region that describe one condition, merged: group_no, code, cells, source_lines.
 
     A row opens a group when its code differs from the last real code before it. Rows that map to
-    no code stay with the group they follow; leading ones with the first.
+    no code stay with the group they follow; leading ones with the first. A region has 400 rows at most.
     """
-    w = W.partitionBy(*_REGION).orderBy("row_no")
-    coded = rows.withColumn("code", F.nullif(normalized(F.col("cells")[0]), F.lit(UNMAPPED)))
-    last = F.last("code", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.coalesce((F.col("code") != last).cast("int"), F.lit(0))
-    grouped = coded.withColumn("opens", opens).withColumn("group_no", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = grouped.groupBy(*_REGION, "group_no").agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "cells", "source_lines"))).alias("x"),
-        F.coalesce(F.first("code", ignorenulls=True), F.lit(UNMAPPED)).alias("code"),
-        F.min("first_line").alias("first_line"),
-        F.max("last_line").alias("last_line"),
-    )
-    n = F.size(F.col("x.cells")[0])
-    column = lambda i: F.array_join(F.filter(F.transform("x.cells", lambda c: c[i]), lambda v: v != ""), " ")
-    return out.select(
-        *_REGION,
-        "group_no",
-        "code",
-        F.transform(F.sequence(F.lit(0), n - 1), column).alias("cells"),
-        F.flatten("x.source_lines").alias("source_lines"),
-        "first_line",
-        "last_line",
-    )
+    row = F.struct("row_no", "cells", "source_lines", "first_line", "last_line")
+    return _grouped(rows.groupBy(*_REGION).agg(F.array_sort(F.collect_list(row)).alias("rows")))
+
+
+def _grouped(table: DataFrame) -> DataFrame:
+    return _groups(table).select(*_REGION, "group_no", "code", "cells", "source_lines", "first_line", "last_line")
+
+
+def groups_of(table: DataFrame) -> DataFrame:
+    """``merged_by_condition`` of the rows of ``cut``, inside the row of each region."""
+    return _grouped(_rows(table))
 
 
 def field_of(title: Column) -> Column:
-    plain = F.lower(collapsed(title))
-    out = None
-    for word, field in TITLE_FIELDS:
-        out = F.when(plain.contains(word), F.lit(field)) if out is None else out.when(plain.contains(word), F.lit(field))
-    return out
+    def field(plain: Column) -> Column:
+        return F.coalesce(*[F.when(plain.contains(word), F.lit(name)) for word, name in TITLE_FIELDS])
+
+    return F.transform(F.array(F.lower(collapsed(title))), field)[0]  # lowered once for all words
 
 
 def cell_or_null(c: Column) -> Column:
@@ -253,25 +289,22 @@ def confidence_notes(fields: Column, had_header: Column) -> Column:
 
 def table_drafts(pages: DataFrame) -> DataFrame:
     """Drafts from the tables: fields, condition_code, phrase, confidence, source_text."""
-    lines = regions(pages)
-    cut = cells_of(lines, bands(lines))
-    named = merged_by_condition(rows_of(cut)).join(titles(cut), list(_REGION), "left")
-    kinds = F.transform("cells", lambda c, i: field_of(F.coalesce(F.get("titles", i), F.lit(""))))
-    named = named.withColumns({"kinds": kinds, "values": F.transform("cells", cell_or_null)})
+    titled = _titles(cut(columned(regions(pages))))
+    titled = _once(titled, kinds=F.transform("titles", field_of)).drop("titles")
+    named = _once(_groups(_rows(titled)), values=F.transform("cells", cell_or_null))
     pairs = F.filter(F.arrays_zip("kinds", "values"), lambda x: x["values"].isNotNull())
-    named = named.withColumn("pairs", pairs)
+    named = _once(named, pairs=pairs)
     own = lambda f: F.transform(F.filter("pairs", lambda x: x["kinds"] == f), lambda x: x["values"])
     loose = F.transform(F.filter("pairs", lambda x: x["kinds"].isNull()), lambda x: x["values"])
     joined = {f: F.nullif(F.array_join(own(f), " "), F.lit("")) for f in FIELDS}
     joined["action"] = F.nullif(F.array_join(F.concat(own("action"), loose), " | "), F.lit(""))
     joined["condition"] = F.coalesce(joined["condition"], cell_or_null(F.col("cells")[0]))
-    found = named.select(
-        *_REGION,
-        "group_no",
-        F.struct(*[joined[f].alias(f) for f in FIELDS]).alias("fields"),
-        F.exists("kinds", lambda k: k.isNotNull()).alias("had_header"),
-        F.array_join(F.transform("source_lines", collapsed), " ").alias("source_text"),
-    )
+    found = _once(
+        named,
+        fields=F.struct(*[joined[f].alias(f) for f in FIELDS]),
+        had_header=F.exists("kinds", lambda k: k.isNotNull()),
+        source_text=F.array_join(F.transform("source_lines", collapsed), " "),
+    ).select(*_REGION, "group_no", "fields", "had_header", "source_text")
     return _scored(found.where("fields.condition IS NOT NULL"))
 
 
@@ -333,6 +366,7 @@ def _scored(drafts: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Drafts of every document: from its tables where they give any, else from its lines."""
-    tables = table_drafts(pages)
-    rest = pages.join(tables.select("document_id").distinct(), "document_id", "left_anti")
+    tables = written(table_drafts(pages), "table-drafts")  # read twice: whole, and for its documents
+    # As many documents as there are pages may have tables: they are merged, never broadcast.
+    rest = pages.join(tables.select("document_id").distinct().hint("merge"), "document_id", "left_anti")
     return tables.withColumn("path", F.lit("table")).unionByName(line_drafts(rest).withColumn("path", F.lit("line")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import textgrid as grid
-from ..sources.adapters import read
+from ..sources.adapters import dealt, read
 from .registry import cte, query, rounded, sql
 from .rules import normal_sql
 
@@ -49,6 +49,11 @@ def _crop() -> Column:
     return F.rpad("p_name", 12, " ")
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, dealt out while they are narrow: each becomes a page of text."""
+    return dealt(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+
+
 def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of a document for every part, in one of several layouts.
 
@@ -58,7 +63,7 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     page's end. The part's type, of any width, stands in the last column.
     """
     size = F.col("p_size")
-    parts = read(spark, sf_dir, "part")
+    parts = dealt_parts(spark, sf_dir)
     lay = F.when(size % 5 == 0, F.array(*map(F.lit, LINE_PAGES))).when(size % 5 == 1, F.array(F.lit("Nothing here.\nNot a table."))).otherwise(F.array(F.lit(PAGE)))
     pages = parts.select("p_partkey", "p_size", "p_type", _crop().alias("crop"), F.posexplode(lay).alias("at", "text"))
     text = F.replace(F.replace("text", F.lit("Pearl millet"), F.col("crop")), F.lit("Spray urea"), F.col("p_type"))
@@ -202,7 +207,7 @@ def line_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_regions", sql("SELECT * FROM regions", "regions"))
 def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.regions(part_documents(spark, sf_dir))
+    return grid.region_lines(grid.regions(part_documents(spark, sf_dir)))
 
 
 @query("column_bands", sql("SELECT * FROM bands", "bands"))
@@ -211,8 +216,7 @@ def column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = grid.regions(part_documents(spark, sf_dir))
-    return grid.cells_of(lines, grid.bands(lines))
+    return grid.cut(grid.columned(grid.regions(part_documents(spark, sf_dir))))
 
 
 @query("header_labels", sql("SELECT * FROM titles", "titles"))
@@ -227,7 +231,7 @@ def assembled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rows_by_condition", sql("SELECT * FROM by_condition", "by_condition"))
 def rows_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.merged_by_condition(grid.rows_of(_cut(spark, sf_dir)))
+    return grid.groups_of(_cut(spark, sf_dir))
 
 
 @query("extract_rules")
@@ -242,7 +246,7 @@ def draft_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for every part, in the layout of ``PAGE``, with the part's name for the millet."""
-    return read(spark, sf_dir, "part").select(
+    return dealt_parts(spark, sf_dir).select(
         F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("document_id"),
         F.lit(1).alias("page"),
         F.replace(F.lit(PAGE), F.lit("Pearl millet"), _crop()).alias("text"),

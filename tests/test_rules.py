@@ -169,3 +169,22 @@ def test_layout_of_a_document_decides_the_path(spark, tmp_path):
             assert path[f"part{k}"] == "table" and len({r.condition_code for r in own}) >= 3
             assert any(f"name {k}" in (r.crop or "") for r in own) and any("LARGE BRUSHED TIN" in (r.action or "") for r in own)
     docs.unpersist()
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_are_read_inside_their_rows(spark):
+    """Nothing between a page and its rows is joined or dealt out, so that no task and no driver holds many pages."""
+    cut = textgrid.cut(textgrid.columned(textgrid.regions(pages(spark))))
+    for df in (textgrid.bands(textgrid.regions(pages(spark))), textgrid.titles(cut), textgrid.rows_of(cut), textgrid.groups_of(cut), textgrid.table_drafts(pages(spark))):
+        assert not any(x in planned(df) for x in ("Join", "Aggregate", "Window"))
+    assert "strategy=merge" in planned(textgrid.extracted(pages(spark)))
+
+
+def test_a_condition_is_made_plain_once(spark):
+    df = spark.createDataFrame([("Mid-season  drought",)], "t string")
+    for f, want in ((cond.normalized, "mid_season_dry_spell"), (cond.deciding_phrase, "mid ?season")):
+        found = df.select(f(F.col("t")).alias("x"))
+        assert found.first().x == want and planned(found).count("lower(") == 1
