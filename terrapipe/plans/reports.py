@@ -41,7 +41,8 @@ cte(
 )
 def district_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.emitted(spark, sf_dir).select("state", "district", F.col("as_of").cast("date").alias("as_of"), "block_id", "detected", "action", "reasons")
-    return report.district_reports(written(found, "emissions"), rules.rule_rows(spark, sf_dir))
+    found = written(found, "emissions")
+    return report.district_reports(found, rules.rule_rows(spark, sf_dir, found))
 
 
 @query(
@@ -51,7 +52,7 @@ def district_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_trigger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the audited events of a state, newest first, with their number in all."""
     found = rules.emitted(spark, sf_dir).where(F.lower("state") == "europe").select("request_id", "state", "action", "as_of")
-    return with_total(found, [F.desc("as_of"), F.col("request_id")], 50, 100).drop("as_of")
+    return with_total(written(found, "audited"), [F.desc("as_of"), F.col("request_id")], 50, 100).drop("as_of")
 
 
 @query(
