@@ -56,3 +56,8 @@ def test_requests_are_made_once(spark, name):
 def test_evaluations_are_made_once(spark, name):
     """What is read twice, or asked for its regions, is a table by then: no page is looked up in the plan that is left."""
     assert "page_text" not in planned(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["rule_first_match"])
+def test_rules_are_looked_up_by_region(spark, name):
+    assert "LeftSemi" in planned(QUERIES[name](spark, SF))
