@@ -52,7 +52,7 @@ def test_requests_are_made_once(spark, name):
     assert "o_orderdate" not in planned(QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["list_trigger_events", "district_totals"])
+@pytest.mark.parametrize("name", ["list_trigger_events", "district_totals", "advisories_by_state"])
 def test_evaluations_are_made_once(spark, name):
     """What is read twice, or asked for its regions, is a table by then: no page is looked up in the plan that is left."""
     assert "page_text" not in planned(QUERIES[name](spark, SF))
