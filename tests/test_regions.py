@@ -58,6 +58,6 @@ def test_evaluations_are_made_once(spark, name):
     assert "page_text" not in planned(QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["rule_first_match"])
+@pytest.mark.parametrize("name", ["rule_first_match", "rule_candidates"])
 def test_rules_are_looked_up_by_region(spark, name):
     assert "LeftSemi" in planned(QUERIES[name](spark, SF))
